@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lakewright.llm import toolcalls, url_filter
+from lakewright.llm import order_minhash, packing, sharding, toolcalls, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_redirects": url_filter.op2_redirects,
+        "op4_karmarkar_karp": sharding.op4_karmarkar_karp,
+        "op5_length_buckets": packing.op5_length_buckets,
         "op6_tool_calls": toolcalls.op6_tool_calls,
+        "op7_order_minhash": order_minhash.op7_order_minhash,
     }
 
 
