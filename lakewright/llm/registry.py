@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from lakewright.llm import order_minhash, packing, sharding, toolcalls, url_filter
+from lakewright.llm import decontaminate, minmax_dedup, order_minhash, packing, sharding, toolcalls, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_redirects": url_filter.op2_redirects,
+        "op3_positional_index": decontaminate.op3_positional_index,
         "op4_karmarkar_karp": sharding.op4_karmarkar_karp,
         "op5_length_buckets": packing.op5_length_buckets,
         "op6_tool_calls": toolcalls.op6_tool_calls,
         "op7_order_minhash": order_minhash.op7_order_minhash,
+        "op9_minmax": minmax_dedup.op9_minmax,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_redirects": url_filter.ORACLE,
+        "op3_positional_index": decontaminate.ORACLE,
         "op6_tool_calls": toolcalls.ORACLE,
+        "op9_minmax": minmax_dedup.ORACLE,
     }
