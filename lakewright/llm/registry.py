@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewright.llm import decontaminate, minmax_dedup, order_minhash, packing, sharding, toolcalls, url_filter
+from lakewright.llm import decontaminate, langid, lattice_lm, minmax_dedup, order_minhash, packing, sharding, toolcalls, url_filter
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op5_length_buckets": packing.op5_length_buckets,
         "op6_tool_calls": toolcalls.op6_tool_calls,
         "op7_order_minhash": order_minhash.op7_order_minhash,
+        "op8_bigru": langid.op8_bigru,
         "op9_minmax": minmax_dedup.op9_minmax,
+        "op10_lattice": lattice_lm.op10_lattice,
     }
 
 
