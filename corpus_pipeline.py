@@ -1,14 +1,73 @@
-"""The corpus pipeline; its stages are added as their operators land."""
+"""The corpus pipeline: language, quality, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.  All but the last return the
+columns of ``docs``.  A stage works on all that its predecessor kept, and its
+decisions take effect by dropping rows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from lakewright.llm import decontaminate, langid, minmax_dedup, packing, quality
+from lakewright.llm.common import materialise
+
+#: A document whose pooled probability of its best language is below this is rejected, as is ``und``.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; null and letterless texts go."""
+    own = docs.where(langid.remainder(F.col("doc_id")) != 1)
+    found = langid.identify(docs, langid.fit(langid.training_sample(own)))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are neither low in quality nor toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(docs, labels, F.col("source"), F.col("lang")).where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of 5-word shingle similarity 0.8 or more; rows without id stay."""
+    classes = minmax_dedup.near_duplicates(docs, k=5, percent=80)
+    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    named = docs.join(keep, docs["doc_id"] == F.col("_keep"), "left_semi")
+    # rows that share an id are one document; which text stays does not depend on their order
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return named.withColumn("_copy", first).where("_copy = 1").drop("_copy").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.drop_contaminated(docs, items)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, bucket, bucket_len, batch, place of every document left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", uncontaminated),
+    ("packing", packed),
+]
+
+#: Trained models and packing have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """The documents, through every stage."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through every stage, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
     return docs

@@ -236,6 +236,17 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return found.select("doc_id", "n_words", "spans", "item_ids")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a match, by id; rows without id are judged by their text.
+
+    Only ids and hashes of contaminated rows are joined, not texts.
+    """
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    bad = contaminated_spans(keyed.select(F.col("_key").alias("doc_id"), "text"), items).where(F.size("spans") > 0)
+    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+
+
 def op3_positional_index(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = contaminated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lakewright.llm import decontaminate, langid, lattice_lm, minmax_dedup, order_minhash, packing, sharding, toolcalls, url_filter
+from lakewright.llm import decontaminate, langid, lattice_lm, minmax_dedup, order_minhash, packing, quality, sharding, toolcalls, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_empirical_bayes": quality.op1_empirical_bayes,
         "op2_redirects": url_filter.op2_redirects,
         "op3_positional_index": decontaminate.op3_positional_index,
         "op4_karmarkar_karp": sharding.op4_karmarkar_karp,
