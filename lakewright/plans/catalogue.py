@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lakewright.plans import diffs, histories, matching, meaning, measures, rules, texts  # noqa: F401  they register their queries
+from lakewright.plans.binding import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
