@@ -142,7 +142,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     characters that the edit takes are sent on.
     """
     keyed = docs.select(
-        "doc_id", F.col("doc_id").isNull().alias("k0"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("doc_id").isNull().alias("k0"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text")
     )
     order = predecessors(
         keyed.groupBy("k0", "k1", "h").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.length("text") / 2).cast("int")).alias("half"))
@@ -153,12 +153,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     sent = met.where("copy = 1").select(
         F.col("p0").alias("k0"), F.col("p1").alias("k1"), F.col("ph").alias("h"), F.expr("substring(text, 1, p_half)").alias("piece"), F.col("sig").alias("next_sig")
     )
-    own = met.select(*key, "doc_id", "text", "sig", "n", "copy").join(sent, key)
+    # both sides read the same columns of ``keyed``, so they share one exchange of the texts
+    own = met.select(*key, "text", "sig", "n", "copy").join(sent, key)
     last = F.col("copy") == F.col("n")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     own = own.withColumns(
         {
+            "doc_id": F.when(~F.col("k0"), F.col("k1")),
             "n_chars": size.cast("long"),
             "edited": F.concat(F.substring("text", F.lit(1), size - half), F.when(last, F.col("piece")).otherwise(F.substring("text", F.lit(1), half))),
             "next_sig": F.when(last, F.col("next_sig")).otherwise(F.col("sig")),
