@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewright.plans import diffs, matching  # noqa: F401  they register their queries
+from lakewright.plans import diffs, matching, meaning, measures  # noqa: F401  they register their queries
 from lakewright.plans.binding import ORACLES, QUERIES
 
 
