@@ -35,11 +35,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of 5-word shingle similarity 0.8 or more; rows without id stay."""
     classes = minmax_dedup.near_duplicates(docs, k=5, percent=80)
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(keep, docs["doc_id"] == F.col("_keep"), "left_semi")
+    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__lakewright_keep")).distinct()
+    named = docs.join(keep, docs["doc_id"] == F.col("__lakewright_keep"), "left_semi")
     # rows that share an id are one document; which text stays does not depend on their order
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return named.withColumn("_copy", first).where("_copy = 1").drop("_copy").unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.withColumn("__lakewright_copy", first).where("__lakewright_copy = 1").drop("__lakewright_copy").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,10 +241,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Only ids and hashes of contaminated rows are joined, not texts.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    bad = contaminated_spans(keyed.select(F.col("_key").alias("doc_id"), "text"), items).where(F.size("spans") > 0)
-    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    keyed = docs.withColumn("__lakewright_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    bad = contaminated_spans(keyed.select(F.col("__lakewright_key").alias("doc_id"), "text"), items).where(F.size("spans") > 0)
+    bad = bad.select(F.col("doc_id").alias("__lakewright_bad")).distinct()
+    return keyed.join(bad, F.col("__lakewright_key") == F.col("__lakewright_bad"), "left_anti").drop("__lakewright_key")
 
 
 def op3_positional_index(spark, sf_dir: str) -> DataFrame:
