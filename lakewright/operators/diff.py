@@ -34,7 +34,7 @@ def status_counts(diff: DataFrame, status: str = "status", names=("added", "dele
     spark = diff.sparkSession
     all_names = spark.createDataFrame([(n,) for n in names], f"{status} string")
     counts = diff.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
-    return all_names.join(F.broadcast(counts), status, "left").select(status, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return all_names.join(counts, status, "left").select(status, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def unpivot(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:

@@ -95,7 +95,7 @@ def three_way(base: DataFrame, current: DataFrame, new: DataFrame, successors: D
     if successors is None:
         local = local.withColumn("target", F.col("key"))
     else:
-        moved = F.broadcast(successors.select("key", "target", F.lit(True).alias("moved")))
+        moved = successors.select("key", "target", F.lit(True).alias("moved"))
         local = local.join(moved, "key", "left").withColumn("target", F.when(F.col("moved"), F.col("target")).otherwise(F.col("key"))).drop("moved")
     n = bag(new, "nv").withColumnRenamed("key", "target")
     rows = local.join(n, ["id", "target"], "left").withColumns(
@@ -104,9 +104,9 @@ def three_way(base: DataFrame, current: DataFrame, new: DataFrame, successors: D
     if mapping is None:
         rows = rows.withColumns({"cur_to": F.col("cur"), "old_to": F.col("old"), "coded": F.lit(False)})
     else:
-        m = lambda v: F.broadcast(mapping.select("key", F.col("code").alias(v), F.col("target_code").alias(f"{v}_to")))
+        m = lambda v: mapping.select("key", F.col("code").alias(v), F.col("target_code").alias(f"{v}_to"))
         rows = rows.join(m("cur"), ["key", "cur"], "left").join(m("old"), ["key", "old"], "left")
-        rows = rows.join(F.broadcast(mapping.select("key").distinct().withColumn("coded", F.lit(True))), "key", "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
+        rows = rows.join(mapping.select("key").distinct().withColumn("coded", F.lit(True)), "key", "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
         rows = rows.withColumn("cur_to", F.when(F.col("coded"), F.col("cur_to")).otherwise(F.col("cur"))).withColumn(
             "old_to", F.when(F.col("coded"), F.col("old_to")).otherwise(F.col("old"))
         )
@@ -137,8 +137,8 @@ def source_update(changes: DataFrame, family: Column) -> DataFrame:
 
 def invalid_codes(values: DataFrame, codelist: DataFrame) -> DataFrame:
     """Distinct (name, list, code) that a known list does not have; unknown lists give no finding."""
-    lists = F.broadcast(codelist.select("list").distinct())
-    return values.where("code <> ''").join(lists, "list", "left_semi").join(F.broadcast(codelist.select("list", "code")), ["list", "code"], "left_anti").select("name", "list", "code").distinct()
+    lists = codelist.select("list").distinct()
+    return values.where("code <> ''").join(lists, "list", "left_semi").join(codelist.select("list", "code"), ["list", "code"], "left_anti").select("name", "list", "code").distinct()
 
 
 def dangling(refs: DataFrame, targets: DataFrame, key: str) -> DataFrame:
@@ -148,7 +148,7 @@ def dangling(refs: DataFrame, targets: DataFrame, key: str) -> DataFrame:
 
 def source_coverage(changes: DataFrame, sources: DataFrame, codes: DataFrame) -> DataFrame:
     """(id, path, problem) of changed leaves without exactly one valid and known source code."""
-    per = sources.join(F.broadcast(codes.select("code", "usable")), "code", "left").groupBy("id", "path").agg(
+    per = sources.join(codes.select("code", "usable"), "code", "left").groupBy("id", "path").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("usable", F.lit(False))).alias("usable")
     )
     met = changes.select("id", "path").distinct().join(per, ["id", "path"], "left")

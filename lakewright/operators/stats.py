@@ -39,7 +39,7 @@ def unknown_codes(codelist: DataFrame) -> DataFrame:
 def coded_unknown_rate(values: DataFrame, codelist: DataFrame) -> DataFrame:
     """(list, total, unknown, unknown_rate) over coded values (list, code)."""
     unknown = codelist.where(is_unknown_label(F.col("label"))).select("list", "code", F.lit(1).alias("u")).distinct()
-    met = values.where("code <> ''").join(F.broadcast(unknown), ["list", "code"], "left")
+    met = values.where("code <> ''").join(unknown, ["list", "code"], "left")
     return met.groupBy("list").agg(
         F.count(F.lit(1)).alias("total"), F.count("u").alias("unknown"), F.round(F.count("u") / F.count(F.lit(1)), 4).alias("unknown_rate")
     )
@@ -53,7 +53,7 @@ def quality_profile(values: DataFrame, codelist: DataFrame) -> DataFrame:
     named = values.groupBy("element", "list", "code").agg(F.count(F.lit(1)).alias("n"))
     first = F.min("list").over(Window.partitionBy("element"))
     named = named.withColumn("list", first).groupBy("element", "list", "code").agg(F.sum("n").alias("n"))
-    tiers = named.join(F.broadcast(codelist), ["list", "code"], "left").groupBy("element", quality_tier(F.col("label")).alias("tier")).agg(F.sum("n").alias("n"))
+    tiers = named.join(codelist, ["list", "code"], "left").groupBy("element", quality_tier(F.col("label")).alias("tier")).agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("element"))
     base = F.regexp_replace("element", "[Ll]od[0-9]", "")
     return tiers.select("element", lod_of(F.col("element")).alias("lod"), F.when(base == "", F.col("element")).otherwise(base).alias("base"), "tier", "n", F.round(rate, 4).alias("rate"))
@@ -63,7 +63,7 @@ def code_distribution(values: DataFrame, codelist: DataFrame) -> DataFrame:
     """(element, list, code, label, n, rate) of every code."""
     counts = values.where("code <> ''").groupBy("element", "list", "code").agg(F.count(F.lit(1)).alias("n"))
     rate = F.round(F.col("n") / F.sum("n").over(Window.partitionBy("element", "list")), 4)
-    return counts.join(F.broadcast(codelist), ["list", "code"], "left").select("element", "list", "code", F.coalesce("label", "code").alias("label"), "n", rate.alias("rate"))
+    return counts.join(codelist, ["list", "code"], "left").select("element", "list", "code", F.coalesce("label", "code").alias("label"), "n", rate.alias("rate"))
 
 
 def drift(baseline: DataFrame, current: DataFrame, rate: float = RATE_THRESHOLD, relative: float = RELATIVE_THRESHOLD) -> DataFrame:

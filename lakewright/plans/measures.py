@@ -130,7 +130,7 @@ def texture_regroup(spark, d):
 @query("SELECT a.r_name AS region, count(*) AS customers, CAST(count(*) FILTER (c_acctbal < 0) AS BIGINT) AS negative, min(c_custkey) AS least FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region a ON n_regionkey = r_regionkey GROUP BY 1")
 def municipality_profile(spark, d):
     """Counts of records by the area they belong to."""
-    n = F.broadcast(E.table(spark, d, "nation").join(E.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region")))
+    n = E.table(spark, d, "nation").join(E.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
     rows = E.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), F.min("c_custkey").alias("least"))
 
