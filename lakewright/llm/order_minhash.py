@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lakewright.llm.common import let, materialise
+from lakewright.llm.common import let
+from lakewright.sources.shared import materialise
 
 K, L, M = 2, 2, 64
 

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import materialise, number_within
+from lakewright.llm.common import number_within
+from lakewright.sources.shared import materialise
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536

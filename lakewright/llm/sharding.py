@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import materialise, number_within
+from lakewright.llm.common import number_within
+from lakewright.sources.shared import materialise
 
 SHARDS = 16
 #: Groups that one task takes, and partial partitions that one node of the tree combines.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import discard, materialise
+from lakewright.sources.shared import discard, materialise
 
 #: tool -> field -> (JSON type, required)
 SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True), "style": ("string", False)}}
