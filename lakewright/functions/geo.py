@@ -58,6 +58,28 @@ def utm_inverse(e: Column, n: Column, zone: Column) -> tuple[Column, Column]:
     return F.degrees(lat), F.degrees(lon) + (zone * 6 - 183)
 
 
+def utm_forward(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """(easting, northing) in metres of degrees, northern hemisphere, by the usual series."""
+    a, f = GRS80_A, GRS80_F
+    e2 = f * (2 - f)
+    ep2, k0 = e2 / (1 - e2), 0.9996
+    phi = F.radians(lat)
+    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    n = F.lit(a) / F.sqrt(F.lit(1.0) - sin * sin * e2)
+    t, c = tan * tan, cos * cos * ep2
+    arc = F.radians(lon - (zone * 6 - 183)) * cos
+    p = [None, arc] + [F.pow(arc, F.lit(float(i))) for i in range(2, 7)]
+    m = (
+        phi * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
+        - F.sin(phi * 2) * (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024)
+        + F.sin(phi * 4) * (15 * e2**2 / 256 + 45 * e2**3 / 1024)
+        - F.sin(phi * 6) * (35 * e2**3 / 3072)
+    ) * a
+    east = (p[1] + (F.lit(1.0) - t + c) * p[3] / 6 + (F.lit(5.0) - t * 18 + t * t + c * 72 - 58 * ep2) * p[5] / 120) * n * k0 + 500000.0
+    north = (m + n * tan * (p[2] / 2 + (F.lit(5.0) - t + c * 9 + c * c * 4) * p[4] / 24 + (F.lit(61.0) - t * 58 + t * t + c * 600 - 330 * ep2) * p[6] / 720)) * k0
+    return east, north
+
+
 def lcc_inverse(e_ft: Column, n_ft: Column) -> tuple[Column, Column]:
     """(lat, lon) of the two-parallel conic of EPSG:2263, in US feet."""
     e = math.sqrt(GRS80_F * (2 - GRS80_F))

@@ -356,6 +356,16 @@ def utm_inverse(spark, d):
     return E.table(spark, d, "part").select(k.alias("id"), F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
 
 
+@query(f"WITH {_GRID} SELECT id, round(e, 3) AS e, round(n, 3) AS n FROM g")
+def utm_roundtrip(spark, d):
+    """Coordinates taken to degrees and back, equal to the millimetre."""
+    k = F.col("p_partkey")
+    lat, lon = geo.utm_inverse(F.lit(300000.0) + (k % 400) * 1000, F.lit(3900000.0) + (k % 97) * 2000, F.lit(54))
+    own = E.table(spark, d, "part").select(k.alias("id"), lat.alias("lat"), lon.alias("lon"))
+    e, n = geo.utm_forward(F.col("lat"), F.col("lon"), F.lit(54))
+    return own.select("id", F.round(e, 3).alias("e"), F.round(n, 3).alias("n"))
+
+
 def _lcc_iter(n: int) -> str:
     out = "pi() / 2 - 2 * atan(tp)"
     steps = [f"i0 AS (SELECT *, {out} AS phi0 FROM b)"]

@@ -275,6 +275,68 @@ def rebuild(base: bytes, head: bytes) -> bytes:
     return out
 
 
+def rename_elements(raw: bytes, old: str, new: str, targets: set[str] | None = None) -> tuple[bytes, list[str], list[tuple[str, str]]]:
+    """``raw`` with direct properties ``old`` of buildings renamed to ``new``: bytes, ids changed, (id, reason) left out.
+
+    Only the name tokens change.  A building that already has ``new``, or has no
+    ``old``, is left out; one with both, or with several, stops the edit.
+    """
+    edits: dict[str, list[int]] = {}
+    has: dict[str, list[int]] = {}
+    order: list[str] = []
+    stack: list[str] = []
+    p = event_parser()
+
+    def at_name() -> int:
+        return raw.index(old.encode(), p.CurrentByteIndex)
+
+    def opened(tag, attributes):
+        ns, _, name = tag.rpartition(" ")
+        if name == "Building" and ns in BUILDING:
+            order.append(next((v for k, v in attributes.items() if k.rpartition(" ")[2] == "id"), ""))
+            has[order[-1]] = [0, 0]
+        elif stack and stack[-1] == "Building" and name in (old, new):
+            has[order[-1]][name == new] += 1
+            if name == old:
+                edits.setdefault(order[-1], []).append(at_name())
+        stack.append(name)
+
+    def closed(tag):
+        name = stack.pop()
+        if name == old and stack and stack[-1] == "Building":
+            edits[order[-1]].append(at_name())
+
+    p.StartElementHandler, p.EndElementHandler = opened, closed
+    p.Parse(raw, True)
+    if any(a > 1 or b > 1 or (a and b) for a, b in has.values()):
+        raise ValueError("a building has several of the properties")
+    left = [(i, "already-renamed" if has[i][1] else "absent") for i in order if not has[i][0]]
+    chosen = [i for i in order if has[i][0] and (targets is None or i in targets)]
+    out = raw
+    for at in sorted((a for i in chosen for a in edits[i]), reverse=True):
+        out = out[:at] + new.encode() + out[at + len(old) :]
+    return out, chosen, left
+
+
+def replace_ids(raw: bytes, links: dict[str, str]) -> bytes:
+    """``raw`` with building ids replaced all at once; each must stand once, and no id may result twice."""
+    members = scan(raw)
+    ids = [m.gml_id for m in members]
+    missing = [i for i in links if ids.count(i) != 1]
+    after = [links.get(i, i) for i in ids]
+    if missing or len(set(after)) != len(after):
+        raise ValueError("ids must stand once before and after")
+    out = raw
+    for m in sorted(members, key=lambda m: -m.start):
+        if m.gml_id in links:
+            piece = out[m.start : m.stop]
+            token = f'"{m.gml_id}"'.encode()
+            if piece.count(token) != 1:
+                raise ValueError(f"{m.gml_id} stands more than once in its member")
+            out = out[: m.start] + piece.replace(token, f'"{links[m.gml_id]}"'.encode()) + out[m.stop :]
+    return out
+
+
 def rebuild_files(base: DataFrame, head: DataFrame) -> DataFrame:
     """(file, content) of every base file rebuilt towards the head file of the same name."""
 

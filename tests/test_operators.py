@@ -219,3 +219,33 @@ def test_reasons_and_trailers(spark):
     body = "subject\n\nChange-Type: a\nBuilding-ID:  b c \nChange-Type: d"
     r = spark.range(1).select(T.trailers(F.lit(body), ("Change-Type", "Building-ID")).alias("t"), T.reason_section(F.lit("## 変更理由\nabc def\n## x")).alias("s")).first()
     assert [(x.key, x.value) for x in r.t] == [("Change-Type", "a"), ("Building-ID", "b c"), ("Change-Type", "d")] and r.s == "abc def"
+
+
+def test_renamed_elements_and_ids():
+    foot = "<b:lod0FootPrint><gml:LinearRing><gml:posList>0 0 0 1 0 0 1 1 0 0 0 0</gml:posList></gml:LinearRing></b:lod0FootPrint>"
+    raw = model(building("a", extra=foot), building("b"), building("c", extra=foot.replace("FootPrint", "RoofEdge")), "<!-- lod0FootPrint -->")
+    out, done, left = gml.rename_elements(raw, "lod0FootPrint", "lod0RoofEdge")
+    assert done == ["a"] and left == [("b", "absent"), ("c", "already-renamed")]
+    assert out == raw.replace(b"b:lod0FootPrint>", b"b:lod0RoofEdge>")
+    with pytest.raises(ValueError):
+        gml.rename_elements(model(building("a", extra=foot * 2)), "lod0FootPrint", "lod0RoofEdge")
+    swapped = gml.replace_ids(raw, {"a": "b", "b": "a"})
+    assert [m.gml_id for m in gml.scan(swapped)] == ["b", "a", "c"]
+    with pytest.raises(ValueError):
+        gml.replace_ids(raw, {"a": "c"})
+
+
+def test_small_documents(spark, tmp_path):
+    from lakewright.sources import documents as docs
+
+    schema = {
+        "type": "object", "required": ["v", "items"], "additionalProperties": False, "$defs": {"item": {"type": "string", "pattern": "^a"}},
+        "properties": {"v": {"type": "integer", "minimum": 1, "const": 1}, "items": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/item"}}, "n": {"type": "number", "maximum": 2}},
+    }
+    assert list(docs.violations(schema, {"v": 1, "items": ["ab"]})) == []
+    assert list(docs.violations(schema, {"v": True, "items": [], "x": 1, "n": 3})) == ["$.v: integer expected", "$.items: too few items", "$: x is not allowed", "$.n: above the maximum"]
+    assert list(docs.violations(schema, {"items": ["b"]})) == ["$: v is missing", "$.items[0]: does not match"]
+    assert docs.table_rows("x\n| a | b |\n|---|---|\n| 1 | p\\|q |\n\nend") == [{"a": "1", "b": "p|q"}]
+    assert docs.payload("é" * 50) == docs.payload("é" * 50) and docs.unpack(docs.payload("é" * 50)) == "é" * 50
+    (tmp_path / "533945_bldg.gml").write_bytes(b"12345")
+    assert [(r.code, r.bytes) for r in docs.catalogue(spark, str(tmp_path)).collect()] == [("533945", 5)]
