@@ -54,15 +54,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _fingerprint(e)
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # the minima are written first: a join of two plain exchanges is one whose hot keys Spark can split
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = materialise(least.select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        large = materialise(large.where("a <> b").distinct(), "large")
+        down = materialise(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "down")
         hung = large.join(down, F.col("a") == F.col("u"))
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("u", "m")).distinct()
         after = materialise(small, "edges")
-        discard(e)
+        for used in (e, least, large, down):
+            discard(used)
         e, before = after, state
         state = _fingerprint(e)
         if state == before:
