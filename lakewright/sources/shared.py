@@ -36,8 +36,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Delete every table written so far; call it once the results that read them are consumed."""
+    while _written:
+        spark, path = _written.pop()
         try:
             _delete(spark, path)
         except Exception:  # the session may be gone; the folder is scratch space
