@@ -10,7 +10,7 @@ from lakewright.operators import stats as S
 from lakewright.plans.binding import query
 from lakewright.sources import editions as E
 
-_READ = """rd AS (SELECT event_type AS name, CASE WHEN event_id % 17 = 0 THEN 9999.0::DOUBLE WHEN event_id % 19 = 0 THEN -9999.0::DOUBLE ELSE value END AS value, event_id FROM events WHERE event_type <> 'signup' OR event_id % 2 = 0)"""
+_READ = """rd AS (SELECT event_type AS name, CASE WHEN event_id % 17 = 0 THEN 9999.0::DOUBLE WHEN event_id % 19 = 0 THEN -9999.0::DOUBLE ELSE value END AS value, event_id FROM events)"""
 _STATS = """SELECT name, count(*) AS total, count(*) FILTER (abs(value) <> 9999) AS valid, count(*) FILTER (abs(value) = 9999) AS sentinel, round(count(*) FILTER (abs(value) = 9999) / count(*), 4) AS unknown_rate,
   round(CAST(avg(CAST(value AS DECIMAL(18,4))) FILTER (abs(value) <> 9999) AS DOUBLE), 3) AS mean, min(value) FILTER (abs(value) <> 9999) AS min, max(value) FILTER (abs(value) <> 9999) AS max FROM {0} GROUP BY name"""
 
@@ -18,7 +18,7 @@ _STATS = """SELECT name, count(*) AS total, count(*) FILTER (abs(value) <> 9999)
 def _readings(spark, d):
     e = F.col("event_id")
     v = F.when(e % 17 == 0, 9999.0).when(e % 19 == 0, -9999.0).otherwise(F.col("value"))
-    return E.table(spark, d, "events").where((F.col("event_type") != "signup") | (e % 2 == 0)).select(F.col("event_type").alias("name"), v.alias("value"), "event_id")
+    return E.table(spark, d, "events").select(F.col("event_type").alias("name"), v.alias("value"), "event_id")
 
 
 @query(f"WITH {_READ} {_STATS.format('rd')}")
@@ -119,11 +119,11 @@ def size_breakdown(spark, d):
 
 
 @query(
-    """SELECT l_suppkey % 20 AS image, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS targets
-FROM lineitem WHERE l_orderkey % 100 = 7 GROUP BY 1"""
+    """SELECT l_orderkey AS image, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS targets
+FROM lineitem GROUP BY 1"""
 )
 def texture_regroup(spark, d):
-    rows = E.table(spark, d, "lineitem").where("l_orderkey % 100 = 7").select((F.col("l_suppkey") % 20).alias("image"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_partkey")
+    rows = E.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_partkey")
     return L.regroup(rows, "image", "pos", "l_partkey").select("image", "first", "n", "targets")
 
 
