@@ -78,7 +78,13 @@ class Lattice:
         self.number = {p: k for k, p in enumerate(self.names)}
         self.score = [scores[p] + math.log(go_on) for p in self.names]
         self.weight = [math.exp(s) for s in self.score]
-        self.starts = {p[:i] for p in scores for i in range(1, len(p))}
+        # a trie of [piece or -1, children by character]
+        self.trie: dict[str, list] = {}
+        for p, k in self.number.items():
+            level = self.trie
+            for c in p[:-1]:
+                level = level.setdefault(c, [-1, {}])[1]
+            level.setdefault(p[-1], [-1, {}])[0] = k
         self.stop = math.log(1 - go_on) - math.log(go_on)
 
     def arcs(self, word: str) -> tuple[int, list[list[tuple[int, int]]]]:
@@ -89,21 +95,24 @@ class Lattice:
         """
         text = "▁" + word
         n = len(text)
-        out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        number, starts = self.number, self.starts
+        out: list[list[tuple[int, int]]] = []
+        trie = self.trie
         for i in range(n):
-            own = out[i]
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                k = number.get(piece)
-                if k is not None:
-                    own.append((j, k))
-                if piece not in starts:
+            own: list[tuple[int, int]] = []
+            level, j = trie, i
+            for c in text[i:]:
+                found = level.get(c)
+                if found is None:
                     break
+                j += 1
+                k, level = found
+                if k >= 0:
+                    own.append((j, k))
             if not own or own[0][0] != i + 1:
-                chain = [number[chr(0xDC00 + b)] for b in text[i].encode("utf-8", "surrogatepass")]
+                chain = [self.number[chr(0xDC00 + b)] for b in text[i].encode("utf-8", "surrogatepass")]
                 own.append((i + 1, -1 - len(self.chains)))
                 self.chains.append(chain)
+            out.append(own)
         return n, out
 
     chains: list[list[int]]
@@ -146,6 +155,7 @@ class Lattice:
                     row.append((j, k, s))
                 flow.append(row)
             flow = [[(j, k, math.exp(s - ln[j])) for j, k, s in row] for row in flow]
+            alpha = [1.0] * (n + 1)
         else:
             alpha = [1.0] + [0.0] * n
             flow = []
@@ -157,13 +167,12 @@ class Lattice:
                     alpha[j] += x
                     row.append((j, k, x))
                 flow.append(row)
-            flow = [[(j, k, x / alpha[j]) for j, k, x in row] for row in flow]
         # going back, each position splits its posterior among the arcs that enter it
         share = [0.0] * n + [1.0]
         for i in range(n - 1, -1, -1):
             got = 0.0
             for j, k, part in flow[i]:
-                x = share[j] * part
+                x = share[j] * part / alpha[j]
                 got += x
                 if k >= 0:
                     into[k] += x
@@ -275,29 +284,39 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, at = table.value, TaskContext.get().partitionId() << 40, 0
+
+        def layout_of(own: dict, n: int) -> pa.RecordBatch:
+            return pa.record_batch([(own[f.name] if isinstance(own[f.name], pa.Array) else pa.array(own[f.name], f.type)) if f.name in own else pa.nulls(n, f.type) for f in full], schema=full)
+
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            sums: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "lp")}
+            words_out: list[bytes] = []
+            counts_out: list[int] = []
+            rare_of: list[int] = []
+            first = part + at
+            for text in batch.column(2):
                 words = Counter(tokens_of(text.as_py()))
-                n, (n_known, base, lp) = 1, end
-                n_known = int(n_known)
-                key = part + at
-                at += 1
+                n, (end_known, base, lp) = 1, end
+                n_known, before = int(end_known), len(words_out)
                 for w, k in words.items():
                     n += k
                     hit = known.get(w)
                     if hit is None:
-                        rows.append((key, None, None, None, None, None, None, w, k))
+                        words_out.append(w)
+                        counts_out.append(k)
                     else:
                         n_known += k * hit[0]
                         base += k * hit[1]
                         lp += k * hit[2]
-                rows.append((key, doc, held, n, n_known, base, lp, None, None))
-                if len(rows) >= 100_000:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), full)], schema=full)
-                    rows = []
-            if rows:
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), full)], schema=full)
+                rare_of.append(len(words_out) - before)
+                for name, x in zip(sums, (n, n_known, base, lp)):
+                    sums[name].append(x)
+            size = batch.num_rows
+            keys = np.arange(first, first + size, dtype=np.int64)
+            at += size
+            yield layout_of({"key": keys, "doc_id": batch.column(0), "held_out": batch.column(1), **sums}, size)
+            if words_out:
+                yield layout_of({"key": np.repeat(keys, rare_of), "word": words_out, "n": counts_out}, len(words_out))
 
     parts = materialise(docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(score, layout), "parts")
     rare = priced.where(step < least) if least is not None else priced
