@@ -41,8 +41,9 @@ def id_regime(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
 def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
     """(o_id, n_id, method, tier, iou, competitor_iou) for one edition boundary; unlinked old
     records have a null n_id and tier C or D."""
-    pairs = match.overlapping(old, new)
-    one = F.broadcast(id_regime(old, new, pairs).select("regime"))
+    # several steps read these; written once, each stays one join
+    pairs = materialise(match.overlapping(old, new), "pairs")
+    one = F.broadcast(materialise(id_regime(old, new, pairs).select("regime"), "regime"))
     consistent = (F.col("iou") >= SAME_IOU) & (F.col("centroid_m") <= SAME_CENTROID)
     same = pairs.where(F.col("o_id") == F.col("n_id")).where(consistent).join(one, F.lit(True)).where("regime <> 'renumbered'")
     near = match.competitor(pairs, same)
@@ -52,14 +53,17 @@ def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
     by_id = same.join(near, ["o_id", "n_id"]).select(
         "o_id", "n_id", F.lit("same_id").alias("method"), F.when(top, "A").when(fits, "B").otherwise("C").alias("tier"), "iou", "competitor_iou"
     )
+    by_id = materialise(by_id, "by_id")
     old1 = old.join(by_id, F.col("id") == F.col("o_id"), "left_anti")
     new1 = new.join(by_id, F.col("id") == F.col("n_id"), "left_anti")
     prints = match.unique_fingerprints(old1, new1, match.rect_fingerprint()).withColumn("method", F.lit("fingerprint"))
     old2 = old1.join(prints, F.col("id") == F.col("o_id"), "left_anti")
     new2 = new1.join(prints, F.col("id") == F.col("n_id"), "left_anti")
-    left = match.overlapping(old1, new1)
-    shapes = match.mutual_best(match.overlapping(old2, new2)).select("o_id", "n_id", F.lit("overlap").alias("method"))
-    found = prints.unionByName(shapes)
+    # pairs of what is left are the pairs whose both sides are left
+    rest = lambda a, b: pairs.join(a.select(F.col("id").alias("o_id")), "o_id", "left_semi").join(b.select(F.col("id").alias("n_id")), "n_id", "left_semi")
+    left = rest(old1, new1)
+    shapes = match.mutual_best(rest(old2, new2)).select("o_id", "n_id", F.lit("overlap").alias("method"))
+    found = materialise(prints.unionByName(shapes), "found")
     split = match.split_candidates(left).select("o_id")
     merge = left.join(match.split_candidates(left, "n", "o").select("n_id"), "n_id", "left_semi").where(F.col("inter") >= match.PIECE * F.col("o_area")).select("o_id")
     parts = split.unionByName(merge).distinct().withColumn("part", F.lit(True))
@@ -73,7 +77,7 @@ def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
         .otherwise("C")
     )
     by_shape = measured.select("o_id", "n_id", "method", tier.alias("tier"), "iou", "competitor_iou")
-    linked = by_id.unionByName(by_shape)
+    linked = materialise(by_id.unionByName(by_shape), "links")
     shared_ids = old.select("id").join(new.select("id"), "id").select(F.col("id").alias("o_id"), F.lit(True).alias("both"))
     lost = old.select(F.col("id").alias("o_id")).join(linked, "o_id", "left_anti").join(parts, "o_id", "left").join(shared_ids, "o_id", "left")
     none = lambda t: F.lit(None).cast(t)
