@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     reps = materialise(reps, "sets")
     keyed = reps.select("rep", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # written first, so that the join below is of two plain exchanges, whose hot bands can be split
+    shared = materialise(keyed.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     pairs = keyed.join(shared, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     member = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     member = member.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
