@@ -30,7 +30,7 @@ RULES = (
     ("com/de/", "block"),
 )
 
-#: Rules are literals of the plan; more than these would need a table.
+#: A list of rules becomes literals of the plan; more than these are given as a table.
 MAX_RULES = 10_000
 
 #: Query parameters that only track the reader.
@@ -108,6 +108,23 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def with_fit(rows: DataFrame, rules) -> DataFrame:
+    """``rows`` (with host and path) and the fitting rule as ``fit``.
+
+    A table of rules (rule, verdict) of any size meets the suffixes of the
+    distinct hosts and paths in a join, whose hot suffixes can be split.
+    """
+    if not isinstance(rules, DataFrame):
+        return rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    cut = F.instr("rule", "/")
+    own = rules.where(cut > 0).select(F.substring("rule", F.lit(1), cut - 1).alias("suffix"), F.substring("rule", cut, F.length("rule")).alias("prefix"), "rule", "verdict")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = rows.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).join(own, "suffix").where(F.startswith("path", "prefix"))
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "allow").alias("ok"), "rule", "verdict")).alias("b"))
+    return rows.join(best, ["host", "path"], "left").withColumn("fit", F.when(F.col("b").isNotNull(), F.struct(F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict")))).drop("b")
+
+
 _HREF = r"""\s*=\s*["']?([^"'>\s]+)"""
 
 
@@ -125,25 +142,24 @@ def page_links(pages: DataFrame) -> DataFrame:
 def redirect_equivalence(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Judge every page: page_id, host, path, rule, verdict, resource, component, by_alias.
 
-    ``redirects`` may hold further (url, target) pairs.  ``component`` names
-    the class (its least resource); ``by_alias`` tells that a block came from
+    ``rules`` is a list of (rule, verdict), or a table of them.  ``redirects``
+    may hold further (url, target) pairs.  ``component`` names the class (its least resource); ``by_alias`` tells that a block came from
     another member.
     """
     rows = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "resource": resource(F.col("url"))})
-    rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    rows = with_fit(rows, rules)
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("url", "target"))
     links = links.select(resource(F.col("url")).alias("a"), resource(F.col("target")).alias("b"), F.col("url"), "target")
     classes = connected_components(links).select(F.col("node").alias("resource"), "component")
     # the targets of redirects are members too, though no page of theirs is at hand
-    member_rule = fitting_rule(host_of(F.col("u")), path_of(F.col("u")), rules)
     named = links.select(F.col("b").alias("resource"), F.col("target").alias("u")).unionByName(
         links.select(F.col("a").alias("resource"), F.col("url").alias("u"))
     )
     hit = (
         rows.where("fit.verdict = 'block'").select("resource")
-        .unionByName(named.withColumn("fit", member_rule).where("fit.verdict = 'block'").select("resource"))
+        .unionByName(with_fit(named.select("resource", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")), rules).where("fit.verdict = 'block'").select("resource"))
         .where("resource is not null")
         .distinct()
     )

@@ -49,6 +49,13 @@ def test_blocks_reach_aliases_but_not_allowed_ones(spark):
     assert got[5] == "block"
 
 
+def test_rules_as_a_table_judge_alike(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").unionByName(pages(spark, [(-1, None, None), (-2, "http://x.com/de/1", None), (-3, "http://b.example.org/es/", None), (-4, "http://q.net/", '<link rel=canonical href="http://x.com/de/1">')]), allowMissingColumns=True)
+    table = spark.createDataFrame(list(uf.RULES), "rule string, verdict string")
+    key = lambda df: sorted(map(str, df.select("page_id", "host", "path", "rule", "verdict", "by_alias").collect()))
+    assert key(uf.redirect_equivalence(rows, table)) == key(uf.redirect_equivalence(rows))
+
+
 def test_url_edge_tables(spark):
     assert uf.redirect_equivalence(pages(spark, [])).count() == 0
     assert uf.redirect_equivalence(pages(spark, [(1, "http://x.com/de/1", None)]), rules=[]).first().verdict == "allow"
