@@ -38,7 +38,7 @@ from lakewright.sources.shared import materialise
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
 GAP = 64
-TEST_BYTES = 32 << 20
+TEST_BYTES = 8 << 20
 
 #: A-Z to lower case; everything that is no word character to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
