@@ -10,16 +10,16 @@ permutation gives two signature values, the least and the greatest hash, so
    components of these edges are the candidate clusters;
 3. the full sets of a cluster meet and exact links are found through an
    inverted list from shingle to sets, so every pair of the cluster that shares
-   a shingle is counted, not only pairs with the band's least one.  A cluster of
-   more than ``SHINGLES`` shingles is dealt into blocks, and each pair of blocks is
+   a shingle is counted, not only pairs with the band's least one.  The members
+   of a cluster of more than ``SHINGLES`` shingles meet band by band instead, and
+   a band that is itself heavier is dealt into blocks, each pair of blocks being
    a task of its own;
 4. the components of the exact links are the classes.
 
 With 24 bands of 5 values a pair of similarity 0.85 shares no band with a chance
-of 8e-7, one of 0.8 with 7e-5; a pair lost that way still meets if both stand in
-one cluster.  A group of tens of thousands of different near copies costs a
-number of block pairs that grows with its square over the block size: exact links
-need that, and no pair of documents is ever a row of its own.
+of 8e-7, one of 0.8 with 7e-5.  Tens of thousands of different near copies in one
+band cost block pairs, which grow with the square of the band over the block
+size: exact links need that, and no pair of documents is ever a row of its own.
 
 Defined results: a document without words, or with null text, has the empty set
 and links with nothing; one of fewer words than a shingle is one shingle; rows
@@ -150,13 +150,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = reps.select("rep", F.explode("bands").alias("band"))
     # written first, so that the join below is of two plain exchanges, whose hot bands can be split
     shared = materialise(keyed.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    pairs = keyed.join(shared, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    banded = materialise(keyed.join(shared, "band").select("rep", "band", "least"), "banded")
+    pairs = banded.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     member = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     member = member.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
     weight = member.groupBy("cluster").agg(F.sum("n").alias("weight"))
     member = materialise(member.join(weight, "cluster"), "members")
-    total = member.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    linked = connected_components(_verify(docs, member, total, k, percent))
+    linked = connected_components(_verify(docs, member, banded, k, percent))
     linked = linked.select(F.col("node").alias("rep"), F.col("component"))
     classes = reps.select("set_key", "rep").join(linked, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     empty = signed.where("set_key is null or doc_id is null").select(
@@ -166,23 +166,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return full.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
-def _verify(docs: DataFrame, member: DataFrame, total: int, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) of a forest with the same components as the exact links inside the clusters."""
-    # light clusters share tasks, a heavy one is dealt into blocks
-    tasks = max(1, -(-total // SHINGLES))
-    blocks = F.ceil(F.col("weight") / SHINGLES).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
-        member.withColumn("blocks", blocks)
-        .withColumn("own", own)
+def _tasks(member: DataFrame, banded: DataFrame) -> DataFrame:
+    """(doc_id, task, i, j): which sets each task compares.
+
+    A cluster of up to ``SHINGLES`` is compared as a whole; several share a task.
+    The members of a heavier one are compared band by band, and a band that is
+    itself heavier is dealt into blocks, each pair of blocks being a task.
+    """
+    light = member.where(F.col("weight") <= SHINGLES).select("rep", F.col("cluster").alias("own"), "n")
+    heavy = banded.select("rep", "band").join(member.where(F.col("weight") > SHINGLES).select("rep", "n"), "rep")
+    heavy = heavy.join(heavy.groupBy("band").agg(F.sum("n").alias("weight")), "band")
+    shared = light.withColumn("kind", F.lit(-1)).unionByName(heavy.where(F.col("weight") <= SHINGLES).select("rep", F.col("band").alias("own"), "n").withColumn("kind", F.lit(-2)))
+    shared = materialise(shared, "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    task = F.pmod(F.xxhash64("own"), F.lit(max(1, -(-total // SHINGLES))))
+    together = shared.select(F.col("rep").alias("doc_id"), task.alias("task"), F.col("kind").alias("i"), F.col("kind").alias("j"))
+    blocks = heavy.where(F.col("weight") > SHINGLES).withColumn("blocks", F.ceil(F.col("weight") / SHINGLES).cast("int"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    paired = (
+        blocks.withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.col("rep").alias("doc_id"),
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.col("cluster")).alias("task"),
-            F.when(F.col("blocks") == 1, -1).otherwise(F.least("own", "other")).alias("i"),
-            F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("own", "other")).alias("j"),
-        )
+        .select(F.col("rep").alias("doc_id"), F.col("band").alias("task"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
+    return together.unionByName(paired).distinct()
+
+
+def _verify(docs: DataFrame, member: DataFrame, banded: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) of a forest with the same components as the exact links between candidates."""
+    dealt = _tasks(member, banded)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = _Hashes()
