@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.operators import match
-from lakewright.sources.shared import materialise
+from lakewright.sources.shared import discard, materialise
 
 # Thresholds of identity links.
 CONTINUOUS, RENUMBERED = 0.95, 0.5
@@ -111,40 +111,81 @@ def compose_chain(steps: list[DataFrame]) -> DataFrame:
     return at.select("start", F.when(F.col("cut").isNull(), F.col("here")).alias("finish"), "tier", "iou", "cut")
 
 
-def collisions(links: DataFrame, held: DataFrame, rounds: int = 100) -> DataFrame:
+def _one_link_each(links: DataFrame) -> bool:
+    return links.where("from_id is not null").groupBy("from_id").count().where("count > 1").isEmpty()
+
+
+def _ends(links: DataFrame, through: DataFrame) -> DataFrame:
+    """Links with the end of the chain that each starts: at, hops, and ``open`` for those that never end.
+
+    Chains go on at the ids of ``through``, each the source of one link.  Every round doubles what a
+    link has followed; an open chain of n links holds one of each lesser length, so a round that
+    closes none leaves only cycles and what leads into them.
+    """
+    on = through.select(F.col("id").alias("_on")).distinct()
+    now = links.join(on, F.col("to_id") == F.col("_on"), "left")
+    now = materialise(now.select("from_id", "to_id", F.col("to_id").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("_on").isNotNull().alias("open")))
+    left = now.where("open").count()
+    while left:
+        ahead = now.select(F.col("from_id").alias("_f"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("open").alias("_open"))
+        moved = now.where("open").join(ahead, F.col("at") == F.col("_f"))
+        moved = moved.select("from_id", "to_id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_open").alias("open"))
+        after = materialise(now.where("not open").unionByName(moved))
+        discard(now)
+        now, before = after, left
+        left = now.where("open").count()
+        if left == before:
+            break
+    return now
+
+
+def collisions(links: DataFrame, held: DataFrame) -> DataFrame:
     """Links (from_id, to_id) that may not apply: their target is held by a record that stays.
 
     ``held`` are the ids in use; a link frees its source unless it is itself
-    refused, so the refusals are a fixed point.
+    refused, so the refusals are a fixed point.  Where ids have one link each it
+    takes rounds by the logarithm of the longest chain, else by its length.
     """
     links = materialise(links.select("from_id", "to_id"))
+    if _one_link_each(links):
+        through = links.select(F.col("from_id").alias("id")).join(held.select("id"), "id", "left_semi")
+        ends = _ends(links, through).where("not open")
+        return ends.join(held.select(F.col("id").alias("at")), "at", "left_semi").select("from_id", "to_id")
     refused = materialise(links.limit(0))
     count = 0
-    for _ in range(rounds):
+    while True:
         kept = links.join(refused, ["from_id", "to_id"], "left_anti")
         stays = held.select("id").join(kept.select(F.col("from_id").alias("id")), "id", "left_anti")
-        refused = materialise(links.join(stays, F.col("to_id") == F.col("id"), "left_semi"))
-        now = refused.count()
-        if now == count:
-            break
-        count = now
-    return refused
-
-
-def link_order(links: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(from_id, to_id, step): a link runs after the one that frees its target; links on a cycle have a null step."""
-    left = materialise(links.select("from_id", "to_id"))
-    done = None
-    for step in range(rounds):
-        waits = left.select(F.col("from_id").alias("to_id"))
-        ready = left.join(waits, "to_id", "left_anti").select("from_id", "to_id")
-        ready = materialise(ready.withColumn("step", F.lit(step)))
-        if ready.isEmpty():
+        after = materialise(links.join(stays, F.col("to_id") == F.col("id"), "left_semi"))
+        discard(refused)
+        refused, before = after, count
+        count = refused.count()
+        if count == before:
+            return refused
+
+
+def link_order(links: DataFrame) -> DataFrame:
+    """(from_id, to_id, step): a link runs after the one that frees its target; links on a cycle, or
+    that wait for one, have a null step.
+
+    Where ids have one link each it takes rounds by the logarithm of the longest chain, else by its length.
+    """
+    links = materialise(links.select("from_id", "to_id"))
+    if _one_link_each(links):
+        ends = _ends(links, links.select(F.col("from_id").alias("id")))
+        return ends.select("from_id", "to_id", F.when(~F.col("open"), F.col("hops") - 1).cast("int").alias("step"))
+    now = materialise(links.withColumn("step", F.lit(None).cast("int")))
+    left, step = now.count(), 0
+    while left:
+        waits = now.where("step is null").select(F.col("from_id").alias("_w")).distinct()
+        after = now.join(waits, F.col("to_id") == F.col("_w"), "left")
+        after = materialise(after.select("from_id", "to_id", F.coalesce("step", F.when(F.col("_w").isNull(), F.lit(step))).alias("step")))
+        discard(now)
+        now, before, step = after, left, step + 1
+        left = now.where("step is null").count()
+        if left == before:
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = materialise(left.join(ready, ["from_id", "to_id"], "left_anti").select("from_id", "to_id"))
-    cyclic = left.withColumn("step", F.lit(None).cast("int"))
-    return cyclic if done is None else done.unionByName(cyclic)
+    return now
 
 
 def apply_links(records: DataFrame, links: DataFrame, key: str = "id") -> DataFrame:
@@ -154,18 +195,25 @@ def apply_links(records: DataFrame, links: DataFrame, key: str = "id") -> DataFr
     return moved.join(shared, "new_id")
 
 
-def alias_closure(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, canonical): the least id that renames connect to each id, either way round."""
+def alias_closure(pairs: DataFrame) -> DataFrame:
+    """(id, canonical): the least id that renames connect to each id, either way round.
+
+    An id and the id that it is labelled with both take the least label next to it, and labels are
+    then followed one step, until none changes; long chains take few rounds.
+    """
     edges = pairs.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     both = materialise(edges.union(edges.select("b", "a")).distinct())
     label = materialise(both.select(F.col("a").alias("id")).distinct().withColumn("canonical", F.col("id")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("canonical").alias("m"))
-        hop = label.select(F.col("id").alias("h"), F.col("canonical").alias("up"))
-        after = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("canonical", "m").alias("canonical"))
-        after = materialise(after.join(hop, F.col("canonical") == F.col("h"), "left").select("id", F.least("canonical", "up").alias("canonical")))
-        changed = after.exceptAll(label).isEmpty()
-        label = after
-        if changed:
-            break
-    return label
+        near = materialise(label.join(near, F.col("id") == F.col("a")).where("m < canonical").select("id", "canonical", "m"))
+        if near.isEmpty():
+            discard(near)
+            return label
+        offer = near.select("id", "m").union(near.select("canonical", "m")).groupBy("id").agg(F.min("m").alias("m"))
+        after = materialise(label.join(offer, "id", "left").select("id", F.least("canonical", "m").alias("canonical")))
+        hop = after.select(F.col("id").alias("h"), F.col("canonical").alias("up"))
+        jumped = materialise(after.join(hop, F.col("canonical") == F.col("h"), "left").select("id", F.least("canonical", "up").alias("canonical")))
+        for used in (near, label, after):
+            discard(used)
+        label = jumped
