@@ -2,8 +2,8 @@
 
 Pages whose addresses name the same resource form one class: addresses that
 differ in scheme, fragment, a leading ``www.``, tracking parameters or a
-trailing slash; a page and the address in its canonical link or its refresh
-redirect; and any redirect pairs given.  Classes are the connected components
+trailing slash; a page and the addresses in its canonical links and refresh
+redirects, relative ones resolved against its base; and any redirect pairs given.  Classes are the connected components
 of these links.  A block rule that hits one member blocks every member that no
 rule fits; a member that a rule fits keeps its own rule's verdict, so an
 explicit allow goes before a block that came through an alias.
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import connected_components
+from lakewright.llm.common import connected_components, let
+from lakewright.sources.shared import materialise
 
 #: (rule, verdict); a rule is a host and a path prefix.
 RULES = (
@@ -125,18 +126,98 @@ def with_fit(rows: DataFrame, rules) -> DataFrame:
     return rows.join(best, ["host", "path"], "left").withColumn("fit", F.when(F.col("b").isNotNull(), F.struct(F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict")))).drop("b")
 
 
-_HREF = r"""\s*=\s*["']?([^"'>\s]+)"""
+#: Named character references that are decoded, and those by number; other names stay as they are.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "period": ".", "quest": "?",
+    "num": "#", "equals": "=", "percnt": "%", "commat": "@", "plus": "+", "comma": ",", "semi": ";", "lowbar": "_", "Tab": "\t", "NewLine": "\n",
+}
+
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _one_of(text: Column, pattern: str) -> Column:
+    """What the one of the pattern's three groups that took part has found, else empty."""
+    return F.concat(*(F.regexp_extract(text, pattern, n) for n in (1, 2, 3)))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return _one_of(tag, rf"(?is)(?<![\w:-]){name}\s*=\s*{_VALUE}")
+
+
+def unescape(text: Column) -> Column:
+    """``text`` with its character references decoded, in one pass."""
+    names = F.create_map(*(F.lit(x) for k, v in ENTITIES.items() for x in (f"&{k};", v)))
+
+    def char(code: Column) -> Column:
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    def plain(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});?$", 1)
+        hexed = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1)
+        code = F.coalesce(F.when(digits != "", digits.cast("int")), F.when(hexed != "", F.conv(hexed, 16, 10).cast("int")))
+        return F.when(piece.startswith("&#"), F.coalesce(let(code, lambda c: F.when(c.isNotNull(), char(c))), piece)).otherwise(F.coalesce(F.try_element_at(names, piece), piece))
+
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z]+;|[^&]+|&"), F.lit(0))
+    return let(text, lambda t: F.when(F.instr(t, "&") > 0, F.array_join(F.transform(pieces(t), plain), "")).otherwise(t))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are resolved."""
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    # a dot segment at the end leaves its folder
+    end = F.when((F.size(kept) > 0) & path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The address that ``target`` names on the page ``base``; null if it names no other address."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(target, r"[\t\r\n]", "")), r"^\\+|^/\\", "//")
+
+    def joined(x: Column) -> Column:
+        t, base = x["t"], x["base"]
+        scheme = F.when(F.instr(base, "://") > 0, F.substring(base, F.lit(1), F.instr(base, "://") - 1))
+        site = F.concat(scheme, F.lit("://"), F.regexp_extract(_tail(base), r"^[^/?#]*", 0))
+        folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"^/(.*/)?[^/]*$", 1))
+        return (
+            F.when((t == "") | t.startswith("#"), None)
+            .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+            .when(t.startswith("/"), F.concat(site, t))
+            .when(t.startswith("?"), F.concat(site, path_of(base), t))
+            .otherwise(F.concat(site, folder, t))
+        )
+
+    def plain(whole: Column) -> Column:
+        head = F.regexp_extract(whole, r"(?s)^[^:]*://[^/?#]*", 0)
+        rest = F.regexp_extract(whole, r"(?s)^[^:]*://[^/?#]*[^?#]*(.*)$", 1)
+        return F.when(whole.isNotNull(), F.concat(head, let(path_of(whole), _without_dots), rest))
+
+    return let(let(F.struct(t.alias("t"), base.alias("base")), joined), plain)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target): absolute canonical links and refresh redirects in the pages' html."""
-    canonical = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    targets = F.array(
-        F.regexp_extract(canonical, rf"(?is)\bhref{_HREF}", 1),
-        F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*([^"'>\s]+)""", 1),
-    )
-    return pages.select("url", F.explode(targets).alias("target")).where(F.instr("target", "://") > 0)
+    """(url, target): all canonical links and refresh redirects in the pages' html, as absolute addresses.
+
+    Targets are resolved against the page's first ``<base href>``, else its url.
+    """
+    tags = pages.select("url", F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0)).alias("tags")).where(F.size("tags") > 0)
+    of = lambda name: F.filter("tags", lambda x: x.rlike(rf"(?i)^<{name}\b"))
+    first = F.get(F.filter(F.transform(of("base"), lambda x: _attribute(x, "href")), lambda x: x != ""), F.lit(0))
+    relation = r"""(?is)(?<![\w:-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+    refresh = r"""(?is)(?<![\w:-])http-equiv\s*=\s*["']?\s*refresh\b"""
+    used = F.filter("tags", lambda x: x.rlike(r"(?i)^<link\b") & x.rlike(relation) | x.rlike(r"(?i)^<meta\b") & x.rlike(refresh))
+    named = tags.select("url", first.alias("base"), F.explode(used).alias("tag"))
+    # the quotes around a refresh address may be references, so it is decoded before they are taken off
+    content = F.regexp_extract(F.col("text"), r"(?is)^\s*(?:[\d.]*[\s;,]*url\s*=\s*|[\d.]+[\s;,]+)(.*)$", 1)
+    moved = _one_of(content, r"""(?s)^(?:"([^"]*)|'([^']*)|([^"'].*))""")
+    link = F.col("tag").rlike(r"(?i)^<link\b")
+    read = named.select("url", "base", link.alias("link"), unescape(F.when(link, _attribute(F.col("tag"), "href")).otherwise(_attribute(F.col("tag"), "content"))).alias("text"))
+    read = read.select("url", F.when(F.col("base").isNotNull(), resolve(unescape(F.col("base")), F.col("url"))).alias("base"), F.when(F.col("link"), F.col("text")).otherwise(moved).alias("target"))
+    return read.select("url", resolve(F.col("target"), F.coalesce("base", "url")).alias("target")).where("target is not null")
 
 
 def redirect_equivalence(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -151,7 +232,8 @@ def redirect_equivalence(pages: DataFrame, rules=RULES, redirects: DataFrame | N
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("url", "target"))
-    links = links.select(resource(F.col("url")).alias("a"), resource(F.col("target")).alias("b"), F.col("url"), "target")
+    # three steps read the links; the pages' html is searched once
+    links = materialise(links.select(resource(F.col("url")).alias("a"), resource(F.col("target")).alias("b"), F.col("url"), "target"), "links")
     classes = connected_components(links).select(F.col("node").alias("resource"), "component")
     # the targets of redirects are members too, though no page of theirs is at hand
     named = links.select(F.col("b").alias("resource"), F.col("target").alias("u")).unionByName(
