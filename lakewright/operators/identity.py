@@ -56,7 +56,7 @@ def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
     by_id = materialise(by_id, "by_id")
     old1 = old.join(by_id, F.col("id") == F.col("o_id"), "left_anti")
     new1 = new.join(by_id, F.col("id") == F.col("n_id"), "left_anti")
-    prints = match.unique_fingerprints(old1, new1, match.rect_fingerprint()).withColumn("method", F.lit("fingerprint"))
+    prints = match.unique_fingerprints(old1, new1, match.fingerprint_of(old)).withColumn("method", F.lit("fingerprint"))
     old2 = old1.join(prints, F.col("id") == F.col("o_id"), "left_anti")
     new2 = new1.join(prints, F.col("id") == F.col("n_id"), "left_anti")
     # pairs of what is left are the pairs whose both sides are left
@@ -64,8 +64,8 @@ def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
     left = rest(old1, new1)
     shapes = match.mutual_best(rest(old2, new2)).select("o_id", "n_id", F.lit("overlap").alias("method"))
     found = materialise(prints.unionByName(shapes), "found")
-    split = match.split_candidates(left).select("o_id")
-    merge = left.join(match.split_candidates(left, "n", "o").select("n_id"), "n_id", "left_semi").where(F.col("inter") >= match.PIECE * F.col("o_area")).select("o_id")
+    split = match.splits(left, old, new).select("o_id")
+    merge = left.join(match.splits(left, old, new, "n", "o").select("n_id"), "n_id", "left_semi").where(F.col("inter") >= match.PIECE * F.col("n_area" if match.has_shapes(old) else "o_area")).select("o_id")
     parts = split.unionByName(merge).distinct().withColumn("part", F.lit(True))
     measured = (
         found.join(pairs, ["o_id", "n_id"]).join(match.competitor(pairs, found), ["o_id", "n_id"]).join(parts, "o_id", "left").join(one, F.lit(True))

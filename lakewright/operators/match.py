@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lakewright.operators import polygons
+
 RECT = ("x0", "y0", "x1", "y1")
 MIN_IOU, PADDING = 0.5, 2.0
 PIECE, COVERAGE = 0.1, 0.5
@@ -27,13 +29,37 @@ def rect_fingerprint() -> Column:
     return F.concat_ws(",", *(F.round(F.col(c) * 1000).cast("long").cast("string") for c in RECT))
 
 
+def has_shapes(df: DataFrame) -> bool:
+    """Whether footprints are polygons (id, rings) and not rectangles (id, x0, y0, x1, y1)."""
+    return "rings" in df.columns
+
+
+def bounds(df: DataFrame) -> DataFrame:
+    """The bounding rectangles of polygons (id, rings: array<array<struct<a, b>>>)."""
+    x, y = F.transform(F.flatten("rings"), lambda p: p["a"]), F.transform(F.flatten("rings"), lambda p: p["b"])
+    return df.select("id", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+
+
+def fingerprint_of(df: DataFrame) -> Column:
+    return polygons.shape_key("rings") if has_shapes(df) else rect_fingerprint()
+
+
+def overlapping_shapes(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
+    """As :func:`overlapping` for polygons: bounding rectangles only find the candidates."""
+    near = overlapping(bounds(old), bounds(new), cell).select("o_id", "n_id")
+    met = near.join(old.select(F.col("id").alias("o_id"), F.col("rings").alias("_o")), "o_id").join(new.select(F.col("id").alias("n_id"), F.col("rings").alias("_n")), "n_id")
+    return met.select("o_id", "n_id", polygons.measures("_o", "_n").alias("m")).select("o_id", "n_id", "m.*").where("inter > 0")
+
+
 def overlapping(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Pairs of overlapping rectangles: o_id, n_id, both areas, inter, iou, centroid_m.
+    """Pairs of overlapping footprints: o_id, n_id, both areas, inter, iou, centroid_m.
 
     Both sides are dealt to the grid cells that they touch and meet in an equi
     join on the cell; a pair is kept only in the cell that holds the lower left
     corner of its intersection, so no later distinct is needed.
     """
+    if has_shapes(old):
+        return overlapping_shapes(old, new, cell)
 
     def dealt(df: DataFrame, p: str) -> DataFrame:
         cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
@@ -111,6 +137,20 @@ def split_candidates(pairs: DataFrame, whole: str = "o", piece: str = "n", share
     )
 
 
+def split_shapes(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n", share: float = PIECE, least: float = COVERAGE) -> DataFrame:
+    """Polygons of which two or more pieces each take ``share`` and whose union covers ``least``: id, pieces, coverage."""
+    sides = {"o": old, "n": new}
+    rings = lambda p, out: sides[p].select(F.col("id").alias(f"{p}_id"), F.col("rings").alias(out))
+    got = pairs.where(F.col("inter") >= share * F.col(f"{whole}_area")).join(rings(piece, "_piece"), f"{piece}_id")
+    own = got.groupBy(f"{whole}_id").agg(F.count(F.lit(1)).alias("pieces"), F.collect_list("_piece").alias("_pieces")).where("pieces >= 2")
+    own = own.join(rings(whole, "_whole"), f"{whole}_id")
+    return own.select(f"{whole}_id", "pieces", polygons.coverage("_whole", "_pieces").alias("coverage")).where(F.col("coverage") >= least)
+
+
+def splits(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n") -> DataFrame:
+    return split_shapes(pairs, old, new, whole, piece) if has_shapes(old) else split_candidates(pairs, whole, piece)
+
+
 def competitor(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """(o_id, n_id, competitor_iou): the best IoU of the new record with any other old one."""
     others = links.select("o_id", "n_id").join(pairs.select(F.col("o_id").alias("other"), "n_id", "iou"), "n_id", "left")
