@@ -126,6 +126,60 @@ def test_classes_equal_brute_force(spark, awkward_rows, k, percent, monkeypatch)
     assert got == plain_classes(rows, k, percent)
 
 
+def test_texts_under_one_id_are_one_node(spark):
+    a, b, c = "one two three four five six", "red green blue white black pink", "uno due tre quattro cinque sei"
+    rows = [(1, a), (5, a), (5, b), (9, b), (7, c), (8, c + " "), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in md.near_duplicates(df, 3, 85).collect())
+    assert got == plain_classes(rows, 3, 85)
+    assert {i: c for i, _, c in got} == {"1": "1", "5": "1", "9": "1", "7": "7", "8": "7", "None": "None"}
+
+
+def test_distinct_texts_keeps_one_row_of_each_class(spark, awkward_rows):
+    rng = random.Random(8)
+    near = near_copies(rng, 40)
+    rows = [r for r in awkward_rows] + near + [(5000, near[0][1]), (5000, "another text that stands under the same number"), (5000, "another text that stands under the same number"), (None, near[0][1])]
+    df = spark.createDataFrame([(i, t, n % 3, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, node int, `band` string")
+    kept = md.distinct_texts(df, 5, 80)
+    assert kept.columns == df.columns
+    # brute force over distinct texts, each a node of its own
+    texts = sorted({t for _, t in rows if t and t.split()})
+    classes = {texts[int(i)]: int(c) for i, _, c in plain_classes(list(enumerate(texts)), 5, 80)}
+    want: dict[int, tuple] = {}
+    for i, t in rows:
+        if t in classes:
+            c = classes[t]
+            want[c] = min(want.get(c, (True, 0)), (i is None, i or 0))
+    got = kept.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.text and r.text.split()) == sorted(want.values())
+    assert sorted(str(r.doc_id) for r in got if not (r.text and r.text.split())) == sorted(str(i) for i, t in rows if not (t and t.split()))
+    assert len({classes[r.text] for r in got if r.text in classes}) == len(want)
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_links_of_shared_bands(cross):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)]
+    bands = rng.integers(0, 9, (60, 3))
+    side = rng.integers(0, 2, 60) if cross else None
+    parent = list(range(60))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(60), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if (bands[i] == bands[j]).any() and 100 * both >= 38 * (len(sets[i]) + len(sets[j]) - both) and not (cross and side[i] == side[j]):
+            parent[find(i)] = find(j)
+    label = md.exact_links(sets, bands, 38, side)
+    same = lambda f: {(i, j) for i, j in itertools.combinations(range(60), 2) if f(i) == f(j)}
+    assert 1 < len(set(label.tolist())) < 60 and same(lambda i: label[i]) == same(find)
+
+
 def test_no_documents_no_classes(spark, empty):
     assert md.near_duplicates(empty).count() == 0
     assert md.near_duplicates(spark.createDataFrame([(1, None), (None, "a b")], "doc_id long, text string")).count() == 2
