@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lakewright.llm import decontaminate, langid, minmax_dedup, packing, quality
 from lakewright.sources.shared import materialise
@@ -33,13 +32,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of 5-word shingle similarity 0.8 or more; rows without id stay."""
-    classes = minmax_dedup.near_duplicates(docs, k=5, percent=80)
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__lakewright_keep")).distinct()
-    named = docs.join(keep, docs["doc_id"] == F.col("__lakewright_keep"), "left_semi")
-    # rows that share an id are one document; which text stays does not depend on their order
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return named.withColumn("__lakewright_copy", first).where("__lakewright_copy = 1").drop("__lakewright_copy").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each class of 5-word shingle similarity 0.8 or more.
+
+    Classes are of texts: rows that share an id but not their text are judged each by its own.
+    """
+    return minmax_dedup.distinct_texts(docs, k=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
