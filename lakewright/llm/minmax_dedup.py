@@ -272,11 +272,12 @@ def _verify(docs: DataFrame, member: DataFrame, banded: DataFrame, k: int, perce
         found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
         return found[found["a"] != found["b"]]
 
-    # of rows equal in id and text one is sent
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    texts = texts.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
-    reps = member.select("node", "rep.doc_id", "rep.text_key").withColumnsRenamed({"doc_id": "r_id", "text_key": "r_key"})
-    met = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key"))).select("node", "text")
+    # of rows equal in id and text one is sent; grouped by what they are joined on, texts move once
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
+    texts = docs.where(F.col("text").isNotNull()).select(*key, text_key().alias("text_key"), "text")
+    texts = texts.groupBy("none", "id", "text_key").agg(F.first("text").alias("text"))
+    reps = member.select("node", "rep.*").select("node", *key, "text_key")
+    met = texts.join(reps, ["none", "id", "text_key"]).select("node", "text")
     return met.join(dealt, "node").groupBy("task", "i", "j").applyInPandas(link, "a long, b long")
 
 
