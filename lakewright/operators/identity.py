@@ -115,7 +115,7 @@ def _one_link_each(links: DataFrame) -> bool:
     return links.where("from_id is not null").groupBy("from_id").count().where("count > 1").isEmpty()
 
 
-def _ends(links: DataFrame, through: DataFrame) -> DataFrame:
+def chain_ends(links: DataFrame, through: DataFrame) -> DataFrame:
     """Links with the end of the chain that each starts: at, hops, and ``open`` for those that never end.
 
     Chains go on at the ids of ``through``, each the source of one link.  Every round doubles what a
@@ -149,7 +149,7 @@ def collisions(links: DataFrame, held: DataFrame) -> DataFrame:
     links = materialise(links.select("from_id", "to_id"))
     if _one_link_each(links):
         through = links.select(F.col("from_id").alias("id")).join(held.select("id"), "id", "left_semi")
-        ends = _ends(links, through).where("not open")
+        ends = chain_ends(links, through).where("not open")
         return ends.join(held.select(F.col("id").alias("at")), "at", "left_semi").select("from_id", "to_id")
     refused = materialise(links.limit(0))
     count = 0
@@ -172,7 +172,7 @@ def link_order(links: DataFrame) -> DataFrame:
     """
     links = materialise(links.select("from_id", "to_id"))
     if _one_link_each(links):
-        ends = _ends(links, links.select(F.col("from_id").alias("id")))
+        ends = chain_ends(links, links.select(F.col("from_id").alias("id")))
         return ends.select("from_id", "to_id", F.when(~F.col("open"), F.col("hops") - 1).cast("int").alias("step"))
     now = materialise(links.withColumn("step", F.lit(None).cast("int")))
     left, step = now.count(), 0
