@@ -108,7 +108,10 @@ def test_tool_calls(spark):
     ]
     results = [(1, "x", 9, 'a "b"\n', "s"), (1, "x", 8, "first", "s"), (1, "y", 9, "r", "s"), (1, "lost", 3, None, "s"), (2, "q", 3, "r", "s"), (2, "x", 9, "r", "s"), (None, None, 1, "c", "s")]
     out = tc.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), schemas).collect()
-    got = {(r.conv_id, r.call_id, r.name): r for r in out}
+    again = [r for r in out if r.status == "duplicate_id"]
+    got = {(r.conv_id, r.call_id, r.name): r for r in out if r.status != "duplicate_id"}
+    assert sorted((r.conv_id, r.call_id, r.seq, r.level, r.n_calls, r.n_results) for r in again) == [(1, "x", 9, None, 0, 2), (2, "x", 3, None, 2, 0)]
+    assert {r.json for r in again} == {'{"arguments":null,"id":"x","name":null,"result":"a \\"b\\"\\n"}', '{"arguments":{"a":1,"b":1},"id":"x","name":"add","result":null}'}
     status = {k: (r.status, r.level) for k, r in got.items()}
     assert status == {
         (1, "x", "add"): ("ok", 0), (1, "y", "add"): ("ok", 1), (1, "z", "add"): ("malformed_arguments", 2), (1, "m", "add"): ("invalid_arguments", 0), (1, "u", "nope"): ("unknown_tool", 0),
@@ -137,6 +140,62 @@ def test_calls_in_turns(spark):
     assert out[2, "turn-0"].status == "ok" and out[None, "turn-0"].status == "missing_result"
 
 
+def test_turns_with_calls_keep_their_content(spark):
+    turns = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[],"content":"no tool"}'), (2, 0, "assistant", '{"tool_calls":[]}'), (3, 0, "user", "q"),
+        (3, 1, "assistant", '{"tool_calls":[{"id":"a","function":{"name":"add","arguments":"{\\"b\\":1}"}}],"content":"let me see"}'),
+        (4, 0, "assistant", '{"tool_call_id":"a","content":"r","tool_calls":[{"id":"b","name":"add","arguments":{}}]}'), (5, 0, "tool", '{"tool_calls":"none"}'),
+    ]
+    calls, results = tc.calls_and_results(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {(r.conv_id, r.call_id, r.name, r.arguments) for r in calls.where("name <> 'reply' or conv_id = 5").collect()} == {
+        (3, "a", "add", '{"b":1}'), (4, "b", "add", "{}"), (5, "turn-0", "reply", '{"prompt":"{\\"tool_calls\\":\\"none\\"}","role":"tool","turn":0}'),
+    }
+    assert {(r.conv_id, r.call_id, r.content) for r in results.collect()} == {(1, "turn-0", "no tool"), (2, "turn--1", None), (3, "turn-0", "let me see"), (4, "a", '"r"')}
+    assert {r.conv_id for r in tc.link_tool_calls(calls, results).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_levels_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    needs = {(0, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(1500)}  # a long chain
+    for conv in range(1, 60):
+        n = rng.randint(1, 12)
+        for i in range(n):
+            # mostly of earlier calls, now and then of any, so that some lie on cycles or behind them
+            needs[conv, f"c{i}"] = [f"c{rng.randrange(i if i and rng.random() < 0.95 else n + 2)}" for _ in range(rng.randint(0, 3))]
+    want: dict = {}
+    while True:
+        new = {}
+        for (conv, c), need in needs.items():
+            own = [(conv, x) for x in need if (conv, x) in needs]
+            if (conv, c) not in want and all(x in want for x in own):
+                new[conv, c] = 1 + max((want[x] for x in own), default=-1)
+        if not new:
+            break
+        want |= new
+    assert len(want) < len(needs)
+    calls = spark.createDataFrame([(conv, c, 0, "add", None, [*need, None], 0) for (conv, c), need in needs.items()], CALLS)
+    assert {(r.conv_id, r.call_id): r.level for r in tc.levels(calls).collect()} == want
+
+
+def test_query_equals_sql_on_repeated_turns(spark, tmp_path):
+    """``op6_tool_calls`` and its SQL on turns that repeat, have no partner or no text."""
+    import random
+
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 30), rng.randint(0, 9), rng.choice(["user", "system", "assistant", "assistant", None]), rng.choice(["a", "b \"q\"", "", None, "ü\n"])) for _ in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = tc.op6_tool_calls(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    twin = con.execute(tc.ORACLE)
+    names = [c[0] for c in twin.description]
+    assert sorted(map(tuple, out.select(*names).collect()), key=repr) == sorted(twin.fetchall(), key=repr)
+    assert {r.status for r in out.collect()} == {"ok", "duplicate_id", "invalid_arguments", "missing_result", "orphan_result"} and out.where("level > 2").count() > 0
+
+
 # ---- order MinHash against a plain Python version
 
 MASK = (1 << 64) - 1
