@@ -34,7 +34,12 @@ STEPS, BATCH, STEP_SPAN, RATE = 700, 128, 40, 0.02
 #: Bytes labelled at a time, and windows a block of the recurrence.
 AT_ONCE, BLOCK = 1 << 20, 1024
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (a general category of L); fractions, circled and raised digits are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -242,7 +247,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 
             for i, text in enumerate(texts):
                 text = text.as_py()
-                if net.labels and text and _LETTER.search(text):
+                if net.labels and text and has_letter(text):
                     todo.append((i, text.encode("utf-8", "surrogatepass")))
                     held += len(todo[-1][1])
                     if held >= AT_ONCE:

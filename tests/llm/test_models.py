@@ -74,6 +74,11 @@ def test_held_out_accuracy_and_edges(spark):
     assert got[1003][0] == "bb" and got[None][0] == "cc" and all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_letters():
+    assert not any(map(li.has_letter, ["", "½ ² ①", "12 !?", "٣", "\u20ac\n"]))
+    assert all(map(li.has_letter, ["½a", "é", "1 中", "ª", "\u0301я"]))
+
+
 def test_nothing_to_learn(spark, awkward, empty):
     assert li.training_sample(empty) == []
     net = li.fit([])
