@@ -132,6 +132,9 @@ ENTITIES = {
     "num": "#", "equals": "=", "percnt": "%", "commat": "@", "plus": "+", "comma": ",", "semi": ";", "lowbar": "_", "Tab": "\t", "NewLine": "\n",
 }
 
+#: What stands in comments and in elements whose content is no markup; one that is not closed goes to the end.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|xmp)\b.*?(?:</\1\b|\z)"
+
 _VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
@@ -202,9 +205,11 @@ def resolve(target: Column, base: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, target): all canonical links and refresh redirects in the pages' html, as absolute addresses.
 
-    Targets are resolved against the page's first ``<base href>``, else its url.
+    Targets are resolved against the page's first ``<base href>``, else its url.  What stands in
+    comments, scripts and other content that is no markup is no link.
     """
-    tags = pages.select("url", F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0)).alias("tags")).where(F.size("tags") > 0)
+    marked = F.when(F.col("html").rlike(r"(?i)<(?:link|meta|base)\b"), F.regexp_replace("html", _HIDDEN, " "))
+    tags = pages.select("url", F.regexp_extract_all(marked, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0)).alias("tags")).where(F.size("tags") > 0)
     of = lambda name: F.filter("tags", lambda x: x.rlike(rf"(?i)^<{name}\b"))
     first = F.get(F.filter(F.transform(of("base"), lambda x: _attribute(x, "href")), lambda x: x != ""), F.lit(0))
     relation = r"""(?is)(?<![\w:-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
