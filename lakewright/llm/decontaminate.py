@@ -13,8 +13,9 @@ stand in order within that many further words (a proximity match).  Blocks are
 queried one by one, so no term is a hot key and nothing is shuffled but the
 term counts.
 
-Test items are held by every task, at most ``TEST_BYTES`` of text at a time;
-a larger test set is taken in several passes whose spans are united.
+Test items are held by every task, at most ``TEST_BYTES`` of text at a time, as
+arrays of about 60 bytes a window; a larger test set is taken in several passes,
+over documents numbered once in a written table, whose spans are united.
 
 Defined results: null text has no words; an item of fewer than ``window``
 words, but not none, is one window; items with the same id count once; a null
@@ -43,8 +44,8 @@ TEST_BYTES = 8 << 20
 #: A-Z to lower case; everything that is no word character to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-INDEX = "part long, seq long, doc_ids array<long>, n_words array<long>, terms array<int>, counts array<long>, deltas binary"
-SPANS = "part long, seq long, ord long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, item_ids array<long>"
+INDEX = "part long, seq long, doc_ids array<long>, tags array<long>, n_words array<long>, terms array<int>, counts array<long>, deltas binary"
+SPANS = "doc_id long, tag long, n_words long, spans array<struct<start:long,stop:long>>, item_ids array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,15 +54,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The stored index of ``docs`` (doc_id, text) for the terms of ``vocabulary``."""
+    """The stored index of ``docs`` (doc_id, tag, text) for the terms of ``vocabulary``; tags are handed through."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema(
-        [("part", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("deltas", pa.binary())]
+        [("part", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("deltas", pa.binary())]
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, part, seq = shared.value.get, TaskContext.get().partitionId(), 0
         ids: list = []
+        tags: list = []
         sizes: list[int] = []
         found: list[np.ndarray] = []
         held = 0
@@ -80,23 +82,24 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             if len(first):
                 delta[first] = at[first]
             return pa.record_batch(
-                [pa.array([x], type=f.type) for x, f in zip((part, seq, ids, n, terms, counts, delta.astype("<u4").tobytes()), schema)], schema=schema
+                [pa.array([x], type=f.type) for x, f in zip((part, seq, ids, tags, n, terms, counts, delta.astype("<u4").tobytes()), schema)], schema=schema
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 w = words_of(text.as_py())
                 ids.append(doc)
+                tags.append(tag)
                 sizes.append(len(w))
                 found.append(np.fromiter(map(find, w, repeat(-1)), np.int32, len(w)))
                 held += len(w) + GAP
                 if held >= BLOCK_WORDS:
                     yield block()
-                    ids, sizes, found, held, seq = [], [], [], 0, seq + 1
+                    ids, tags, sizes, found, held, seq = [], [], [], [], 0, seq + 1
         if ids:
             yield block()
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX), "postings")
+    return materialise(docs.select(F.col("doc_id").cast("long"), F.col("tag").cast("long"), "text").mapInArrow(build, INDEX), "postings")
 
 
 def rarity(index: DataFrame, size: int) -> np.ndarray:
@@ -108,56 +111,83 @@ def rarity(index: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def find_phrase(postings, offsets, order, slop: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of a phrase; ``postings(term)`` gives ascending positions."""
+def find_phrase(postings, phrase: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of a phrase; ``postings(term)`` gives ascending positions, ``order`` the words by rarity."""
     if not slop:
-        term, off = order[0]
-        at = postings(term) - off
-        for term, off in order[1:]:
+        at = postings(phrase[order[0]]) - order[0]
+        for off in order[1:]:
             if not len(at):
                 break
-            other = postings(term)
+            other = postings(phrase[off])
             spot = np.searchsorted(other, at + off)
             spot[spot == len(other)] = 0
             at = at[other[spot] == at + off]
-        return at, at + length
-    start = postings(offsets[0])
+        return at, at + len(phrase)
+    start = postings(phrase[0])
     end = start
-    for term in offsets[1:]:
+    for term in phrase[1:]:
         other = postings(term)
         spot = np.searchsorted(other, end, side="right")
         keep = spot < len(other)
         start, end = start[keep], other[spot[keep]]
-    fit = end - start + 1 <= length + slop
+    fit = end - start + 1 <= len(phrase) + slop
     return start[fit], end[fit] + 1
 
 
-def search(index: DataFrame, items: list[tuple[int | None, list[int]]], terms: int, window: int = WINDOW, slop: int = 0) -> DataFrame:
+class Phrases:
+    """The distinct windows of test items as arrays.
+
+    ``terms`` has a row a window, of fewer words padded with ``pad``; ``size`` its words; ``owners`` the
+    numbers of the items that have window i, from ``first[i]`` to ``first[i + 1]``.
+    """
+
+    def __init__(self, items: list[np.ndarray], window: int, pad: int):
+        rows = [np.empty((0, window), np.int32)]
+        owner = [np.empty(0, np.int32)]
+        for k, w in enumerate(items):
+            if len(w):
+                some = np.full((max(1, len(w) - window + 1), window), pad, dtype=np.int32)
+                some[:, : len(w)] = np.lib.stride_tricks.sliding_window_view(w, min(window, len(w)))
+                rows.append(some)
+                owner.append(np.full(len(some), k, dtype=np.int32))
+        table, owner = np.concatenate(rows), np.concatenate(owner)
+        order = np.lexsort((owner, *table.T))
+        table, owner = table[order], owner[order]
+        new = np.ones(len(table), dtype=bool)
+        new[1:] = (table[1:] != table[:-1]).any(axis=1)
+        self.terms = table[new]
+        self.size = (self.terms != pad).sum(axis=1)
+        again = ~new
+        again[1:] &= owner[1:] == owner[:-1]
+        which = np.cumsum(new) - 1
+        self.owners = owner[~again]
+        self.first = np.searchsorted(which[~again], np.arange(len(self.terms) + 1))
+
+    def by_rarity(self, common: np.ndarray) -> np.ndarray:
+        """The places of each window's words, rarest first; padding comes last."""
+        return np.argsort(common[self.terms], axis=1, kind="stable").astype(np.int8 if self.terms.shape[1] < 128 else np.int32)
+
+
+def search(index: DataFrame, items: list[tuple[int | None, np.ndarray]], terms: int, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Rows ``SPANS``: for every document the merged spans of matches and the items that match."""
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
-    windows: dict[tuple[int, ...], set] = {}
-    for item, w in items:
-        for i in range(max(1, len(w) - window + 1)):
-            if w:
-                windows.setdefault(tuple(w[i : i + window]), set()).add(item)
+    names = sorted({i for i, _ in items}, key=lambda x: (x is not None, x))
+    number = {i: k for k, i in enumerate(names)}
+    merged = Phrases([w for _, w in items], window, terms)
+    named = np.array([number[i] for i, _ in items], dtype=np.int32)
     common = rarity(index, terms + 1)
-    common[terms] = 1  # stands for "no term" in the padded rows
-    phrases = list(windows)
-    padded = np.full((len(phrases), window), terms, dtype=np.int32)
-    for i, p in enumerate(phrases):
-        padded[i, : len(p)] = p
-    orders = [sorted(((t, o) for o, t in enumerate(p)), key=lambda x: (common[x[0]], x)) for p in phrases]
-    shared = index.sparkSession.sparkContext.broadcast((phrases, padded, orders, [sorted(windows[p], key=lambda x: (x is not None, x)) for p in phrases]))
+    common[terms] = np.iinfo(np.int64).max  # padding
+    shared = index.sparkSession.sparkContext.broadcast((merged.terms, merged.size, merged.by_rarity(common), merged.first, named[merged.owners], names))
     schema = pa.schema(
-        [("part", pa.int64()), ("seq", pa.int64()), ("ord", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("item_ids", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("item_ids", pa.list_(pa.int64()))]
     )
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, padded, orders, owners = shared.value
+        phrases, length, orders, begin, owners, names = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                part, seq, ids, n, have, counts, delta = (batch.column(c)[row] for c in range(7))
+                ids, tags, n, have, counts, delta = (batch.column(c)[row] for c in range(2, 8))
                 n, have, counts = (x.values.to_numpy(zero_copy_only=False) for x in (n, have, counts))
                 delta = np.frombuffer(delta.as_py(), dtype="<u4")
                 start = np.concatenate([[0], np.cumsum(n + GAP)[:-1]])
@@ -176,14 +206,14 @@ def search(index: DataFrame, items: list[tuple[int | None, list[int]]], terms: i
 
                 edge = np.zeros(int((n + GAP).sum()) + 1, dtype=np.int32)
                 hit_items: dict[int, set] = {}
-                for i in np.flatnonzero(present[padded].all(axis=1)):
-                    a, b = find_phrase(postings, phrases[i], orders[i], slop, len(phrases[i]))
+                for i in np.flatnonzero(present[phrases].all(axis=1)):
+                    a, b = find_phrase(postings, phrases[i, : length[i]], orders[i, : length[i]], slop)
                     if not len(a):
                         continue
                     np.add.at(edge, a, 1)
                     np.add.at(edge, b, -1)
                     for d in np.unique(np.searchsorted(start, a, side="right") - 1):
-                        hit_items.setdefault(int(d), set()).update(owners[i])
+                        hit_items.setdefault(int(d), set()).update(owners[begin[i] : begin[i + 1]].tolist())
                 inside = np.cumsum(edge) > 0
                 turns = np.diff(inside.astype(np.int8), prepend=0)
                 up, down = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
@@ -194,13 +224,11 @@ def search(index: DataFrame, items: list[tuple[int | None, list[int]]], terms: i
                 size = len(n)
                 yield pa.record_batch(
                     [
-                        pa.array([part.as_py()] * size, pa.int64()),
-                        pa.array([seq.as_py()] * size, pa.int64()),
-                        pa.array(range(size), pa.int64()),
                         ids.values,
+                        tags.values,
                         pa.array(n, pa.int64()),
                         pa.array([spans.get(d, []) for d in range(size)], schema.field("spans").type),
-                        pa.array([sorted(hit_items.get(d, ()), key=lambda x: (x is not None, x)) for d in range(size)], schema.field("item_ids").type),
+                        pa.array([[names[x] for x in sorted(hit_items.get(d, ()))] for d in range(size)], schema.field("item_ids").type),
                     ],
                     schema=schema,
                 )
@@ -208,21 +236,26 @@ def search(index: DataFrame, items: list[tuple[int | None, list[int]]], terms: i
     return index.mapInArrow(query, SPANS)
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, tag: str | None = None) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): doc_id, n_words, spans of word numbers
-    [start, stop) that test items (item_id, text) cover, and item_ids."""
+    [start, stop) that test items (item_id, text) cover, and item_ids; then column ``tag`` as tag."""
+    rows = docs.select(F.col("doc_id").cast("long"), (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-size // TEST_BYTES))
+    if passes > 1:
+        # every pass must name the same row alike, so the numbers are written once
+        rows = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+        named, rows = rows.select("number", "doc_id", "tag"), rows.select("doc_id", F.col("number").alias("tag"), "text")
     found = None
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).select(F.col("item_id").cast("long"), "text").toLocalIterator()
         vocabulary: dict[bytes, int] = {}
-        numbered = [(r["item_id"], [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(r["text"])]) for r in own]
-        one = search(build_index(docs, vocabulary), numbered, len(vocabulary), window, slop)
+        numbered = [(r["item_id"], np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(r["text"])], dtype=np.int32)) for r in own]
+        one = search(build_index(rows, vocabulary), numbered, len(vocabulary), window, slop)
         found = one if found is None else found.unionByName(one)
     if passes > 1:
-        found = found.groupBy("part", "seq", "ord").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
+        found = found.groupBy(F.col("tag").alias("number")).agg(
+            F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
         )
         joined = F.aggregate(
             "spans",
@@ -232,19 +265,20 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))),
             ).otherwise(F.concat(acc, F.array(s))),
         )
-        found = found.withColumn("spans", joined)
-    return found.select("doc_id", "n_words", "spans", "item_ids")
+        found = named.join(found.withColumn("spans", joined), "number")
+    return found.select("doc_id", "n_words", "spans", "item_ids", *(["tag"] if tag else []))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a match, by id; rows without id are judged by their text.
+    """The rows of ``docs`` without a match, each judged by its own text, also where rows share an id.
 
-    Only ids and hashes of contaminated rows are joined, not texts.
+    Only ids and hashes of the texts of contaminated rows are joined, not texts.
     """
-    keyed = docs.withColumn("__lakewright_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    bad = contaminated_spans(keyed.select(F.col("__lakewright_key").alias("doc_id"), "text"), items).where(F.size("spans") > 0)
-    bad = bad.select(F.col("doc_id").alias("__lakewright_bad")).distinct()
-    return keyed.join(bad, F.col("__lakewright_key") == F.col("__lakewright_bad"), "left_anti").drop("__lakewright_key")
+    keyed = docs.withColumn("__lakewright_key", F.xxhash64("text"))
+    bad = contaminated_spans(keyed, items, tag="__lakewright_key").where(F.size("spans") > 0)
+    bad = bad.select(F.col("doc_id").alias("__lakewright_id"), F.col("tag").alias("__lakewright_bad")).distinct()
+    same = (F.col("__lakewright_key") == F.col("__lakewright_bad")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__lakewright_id"))
+    return keyed.join(bad, same, "left_anti").drop("__lakewright_key")
 
 
 def op3_positional_index(spark, sf_dir: str) -> DataFrame:

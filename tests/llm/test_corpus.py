@@ -53,7 +53,8 @@ def bench(spark, awkward_rows):
 def test_spans_equal_brute_force(spark, awkward, awkward_rows, bench, monkeypatch, limit):
     monkeypatch.setattr(dc, "TEST_BYTES", limit)
     items = spark.createDataFrame([(i, t, 0) for i, t in bench], "item_id long, text string, doc_id int")
-    rows = dc.contaminated_spans(awkward, items, window=4).collect()
+    docs = awkward.repartition(5, F.rand(seed=4)) if limit < 1000 else awkward
+    rows = dc.contaminated_spans(docs, items, window=4).collect()
     got = sorted((str(r.doc_id), r.n_words, sum(s.stop - s.start for s in r.spans), sorted(map(str, r.item_ids))) for r in rows)
     assert got == plain_hits(awkward_rows, bench, 4)
     for r in rows:
@@ -79,6 +80,29 @@ def test_contamination_edges(spark, awkward, empty):
     assert kept.where("doc_id in (7, 8, 11)").count() == 0 and kept.where("doc_id is null and text is null").count() == 1
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_own(spark):
+    docs = spark.createDataFrame([(1, "some clean words"), (1, "here the same the same stands"), (None, "clean too"), (None, "the same the same")], "doc_id long, text string")
+    items = spark.createDataFrame([(2, "the Same, the same")], "item_id long, text string")
+    assert {(r.doc_id, r.text) for r in dc.drop_contaminated(docs, items).collect()} == {(1, "some clean words"), (None, "clean too")}
+
+
+def test_phrase_table_is_compact():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    items = [rng.integers(0, 5000, n).astype(np.int32) for n in [0, 1, 4, 5000, 20_000]]
+    items.append(items[4][100:160])
+    table = dc.Phrases(items, 10, 5000)
+    windows = {}
+    for k, w in enumerate(items):
+        for i in range(max(1, len(w) - 9) if len(w) else 0):
+            windows.setdefault(tuple(w[i : i + 10].tolist()), set()).add(k)
+    got = {tuple(t[:n].tolist()): set(table.owners[a:b].tolist()) for t, n, a, b in zip(table.terms, table.size, table.first, table.first[1:])}
+    assert got == windows
+    order = table.by_rarity(rng.integers(1, 99, 5001))
+    assert sum(x.nbytes for x in (table.terms, table.size, table.owners, table.first, order)) < 80 * len(windows)
+
+
 # ---- near duplicates
 
 
