@@ -211,6 +211,71 @@ def test_sparse_sites_lean_on_their_parents(spark):
     assert prior < got["one", "a"].site_quality < 1
 
 
+def plain_judgements(docs, labels):
+    """Brute force of the posteriors: every document's site is added up anew, without the document."""
+    model = q.fit([(t, m) for _, t, m in sorted(docs.sample)])
+    rows = [(i, h, p, *model.logits(*q.features(t, {}))) for i, t, h, p in docs.rows]
+    sig = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for k, t in enumerate(q.TARGETS):
+        e = [r[3 + k] for r in rows]
+        own = [sig(z) for z in e]
+        x = [own[j] if labels.get(r[0], {}).get(t) is None else labels[r[0]][t] for j, r in enumerate(rows)]
+        paths, hosts = {}, {}
+        for r, v in zip(rows, x):
+            paths.setdefault((r[1], r[2]), []).append(v)
+            hosts.setdefault(r[1], []).append(v)
+        n, m = len(x), sum(x) / len(x)
+        sq = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups.values())
+        host_var = max((sq(hosts) - n * m * m - (len(hosts) - 1) * m * (1 - m)) / max(n - sum(len(g) ** 2 for g in hosts.values()) / n, 1), 1e-6)
+        within = (sum(x) - sq(hosts)) / n
+        path_var = max((sq(paths) - sq(hosts) - (len(paths) - len(hosts)) * within) / max(n - sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items()), 1), 1e-6)
+        wh, wp = (max(min(v, 1e6), 1) for v in (m * (1 - m) / host_var - 1, within / path_var - 1))
+        got = []
+        for j, r in enumerate(rows):
+            h, s = hosts[r[1]], paths[r[1], r[2]]
+            host = (max(sum(h) - own[j], 0) + wh * m) / (len(h) - 1 + wh)
+            site = (max(sum(s) - own[j], 0) + wp * host) / (len(s) - 1 + wp)
+            got.append(sig(e[j] + odds(site) - odds(m)))
+        out.append(got)
+    return sorted((str(r[0]), a, b) for r, a, b in zip(rows, *out))
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """``op1_empirical_bayes`` on sites of all sizes, with labels that lack a target."""
+    rng = random.Random(6)
+    rows, marks = [], {}
+    for i in range(300):
+        host = rng.choice(["a", "a", "a", "b", "c", None, f"h{i}"])
+        bad, toxic = rng.random() < {"a": 0.1, "b": 0.7}.get(host, 0.3), rng.random() < 0.2
+        t = text(rng, "aa", rng.randint(5, 40)) + (" FREE!! WIN!! $$$" * 3 if bad else "") + (" vilea vileb" if toxic else "")
+        rows.append((i if i % 50 else None, rng.choice([t, t, t, None]) if i % 9 == 0 else t, host, rng.choice(["p", "q", None])))
+        if i % 3 and i % 50:
+            marks[i] = {"quality": None if i % 11 == 0 else float(not bad), "toxic": None if i % 13 == 0 else float(toxic)}
+    spark.createDataFrame([(i, t, p, h, 0.5) for i, t, h, p in rows], "doc_id long, text string, lang string, source string, n double").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, m["quality"], m["toxic"]) for i, m in marks.items()] + [(9999, 1.0, 1.0), (None, 0.0, 1.0)], "doc_id long, quality double, toxic double").write.parquet(str(tmp_path / "labels.parquet"))
+    h = {(r.doc_id, r.text): r.h for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+
+    class docs:
+        sample = [(h[i, t], t, marks[i]) for i, t, _, _ in rows if i in marks]
+
+    docs.rows = rows
+    got = sorted((str(r.doc_id), r.quality, r.toxic, r.kept) for r in q.op1_empirical_bayes(spark, str(tmp_path)).collect())
+    want = plain_judgements(docs, marks)
+    assert [(a, pytest.approx(b), pytest.approx(c), b >= 0.5 and c < 0.5) for a, b, c in want] == got
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    twice = docs.unionByName(docs).unionByName(docs)
+    monkeypatch.setattr(q, "SAMPLE_BYTES", 3000)
+    rows = q.labelled_sample(twice, labels, 50)
+    assert 5 < len(rows) <= 50 and len({t for t, _ in rows}) == len(rows) and sum(len(t) for t, _ in rows) <= 3000
+    monkeypatch.setattr(q, "SAMPLE_BYTES", 1)
+    assert q.labelled_sample(docs.where("doc_id < 100"), labels) == []
+
+
 def test_without_labels_nothing_is_rejected(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert q.judge(awkward, none, F.col("source"), F.col("lang")).where("not kept").count() == 0
