@@ -1,20 +1,20 @@
 """Language-model scoring by subword lattice likelihood.
 
 Every word is a lattice over its characters: an arc for each piece of an
-existing unigram vocabulary that fits there, and one arc for the whole word as
-the training documents know it.  A forward recursion in log space sums all
+existing vocabulary that fits there, and one arc for the whole word as the
+training documents know it.  A forward recursion in log space sums all
 segmentations, so a word's probability is marginal over them:
 
     P(word) = max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * Q(word)
 
 with c its count, N all tokens and V distinct tokens in training, and Q the sum
 over segmentations of ``_`` + word of the product of piece probabilities, where
-after a piece the word goes on with a fixed probability.  Piece probabilities
-start from the vocabulary's scores: these are minus the rank of the piece, read
-as a Zipf law; pieces that differ in A-Z only are added up, and byte pieces
-share ``BYTE_MASS``.  ``ROUNDS`` of expectation over every distinct training word
-fit them to the corpus; the vocabulary itself stays as it is.  Words are lower-cased in A-Z.  A document's score is the
-log10 of the product over its words and one end token.
+after a piece the word goes on with probability ``GO_ON``.  Piece probabilities
+are the vocabulary's scores and nothing is fitted to them: the vocabulary at hand
+is BPE, whose scores are minus the rank of the piece, so they are read as the Zipf
+law 1 / (ZIPF_SHIFT + rank); pieces that differ in A-Z only are added up, and byte
+pieces share ``BYTE_MASS``.  Words are lower-cased in A-Z.  A document's score is
+the log10 of the product over its words and one end token.
 
 Counts are over all training documents.  The ``FREQUENT`` most frequent words or
 fewer go to every task, which scores them where they stand; only the others
@@ -42,9 +42,6 @@ from lakewright.sources.shared import materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 50_000
-ROUNDS = 1
-#: Weight of the vocabulary's own scores in a round of expectation.
-PRIOR = 1e-3
 #: Distinct words that a task counts before it hands them on.
 HELD = 300_000
 DISCOUNT, GO_ON, BYTE_MASS, ZIPF_SHIFT = 0.75, 0.75, 1e-3, 2.7
@@ -71,13 +68,11 @@ def piece_scores(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Lattice:
-    """Marginal probability of words under piece scores, and expected piece counts."""
+    """Marginal probability of words under piece scores (ln probability by piece)."""
 
     def __init__(self, scores: dict[str, float], go_on: float = GO_ON):
-        self.names = sorted(scores)
-        self.number = {p: k for k, p in enumerate(self.names)}
-        self.score = [scores[p] + math.log(go_on) for p in self.names]
-        self.weight = [math.exp(s) for s in self.score]
+        self.score = [x + math.log(go_on) for x in scores.values()]
+        self.number = {p: k for k, p in enumerate(scores)}
         # a trie of [piece or -1, children by character]
         self.trie: dict[str, list] = {}
         for p, k in self.number.items():
@@ -137,50 +132,6 @@ class Lattice:
         top = max(own)
         return top + log(sum([exp(x - top) for x in own])) + self.stop
 
-    def expect(self, word: str, into: list[float]) -> None:
-        """Add the posterior expectation of each piece in ``word`` to ``into``."""
-        self.chains = []
-        n, arcs = self.arcs(word)
-        weight, chains = self.weight, self.chains
-        if n > 48:  # too long for plain products
-            ln = [-math.inf] * (n + 1)
-            ln[0] = 0.0
-            flow = []
-            for i in range(n):
-                row = []
-                for j, k in arcs[i]:
-                    s = ln[i] + (self.score[k] if k >= 0 else sum(self.score[c] for c in chains[-1 - k]))
-                    top = max(ln[j], s)
-                    ln[j] = top + math.log(math.exp(ln[j] - top) + math.exp(s - top))
-                    row.append((j, k, s))
-                flow.append(row)
-            flow = [[(j, k, math.exp(s - ln[j])) for j, k, s in row] for row in flow]
-            alpha = [1.0] * (n + 1)
-        else:
-            alpha = [1.0] + [0.0] * n
-            flow = []
-            for i in range(n):
-                a = alpha[i]
-                row = []
-                for j, k in arcs[i]:
-                    x = a * (weight[k] if k >= 0 else math.exp(sum(self.score[c] for c in chains[-1 - k])))
-                    alpha[j] += x
-                    row.append((j, k, x))
-                flow.append(row)
-        # going back, each position splits its posterior among the arcs that enter it
-        share = [0.0] * n + [1.0]
-        for i in range(n - 1, -1, -1):
-            got = 0.0
-            for j, k, part in flow[i]:
-                x = share[j] * part / alpha[j]
-                got += x
-                if k >= 0:
-                    into[k] += x
-                else:
-                    for c in chains[-1 - k]:
-                        into[c] += x
-            share[i] = got
-
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -216,37 +167,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fitted(counted: DataFrame, scores: dict[str, float], words: int, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Piece scores and the chance to go on, after expectation over the distinct training words.
-
-    Every word type weighs the same, as Q is for words that training has not
-    seen.  What reaches the driver is one number a piece of the vocabulary.
-    """
-    go_on, own = GO_ON, scores
-    for _ in range(rounds if words else 0):
-        model = counted.sparkSession.sparkContext.broadcast((own, go_on))
-        schema = pa.schema([("piece", pa.int32()), ("x", pa.float64())])
-
-        def expect(batches: Iterator[pa.RecordBatch], model=model, schema=schema) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(*model.value)
-            total = [0.0] * len(lattice.names)
-            for batch in batches:
-                for w in batch.column(0):
-                    lattice.expect(w.as_py().decode("utf-8", "surrogatepass"), total)
-            some = [k for k, x in enumerate(total) if x]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([total[k] for k in some], pa.float64())], schema=schema)
-
-        found = counted.where("c > 0").select("word").mapInArrow(expect, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
-        names = sorted(own)
-        mass = sum(r["x"] for r in found)
-        weight = {p: PRIOR * mass * math.exp(s) for p, s in scores.items()}
-        for r in found:
-            weight[names[r["piece"]]] += r["x"]
-        total = sum(weight.values())
-        own, go_on = {p: math.log(w / total) for p, w in weight.items()}, min(max(1 - words / mass, 0.01), 0.99)
-    return own, go_on
-
-
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -254,11 +174,11 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     ends = docs.agg(F.count_if(~held_out(F.col("doc_id"))).alias("n")).first()["n"]
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = sums["c"] + ends, sums["v"] + (ends > 0)
-    lattice = spark.sparkContext.broadcast(fitted(counted, piece_scores(vocabulary), sums["v"]))
+    scores = spark.sparkContext.broadcast(piece_scores(vocabulary))
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Lattice(*lattice.value)
+        model = Lattice(scores.value)
         spread = DISCOUNT * distinct / total if total else 1.0
         for batch in batches:
             c = batch.column(1).to_numpy().astype(float)

@@ -108,14 +108,6 @@ def test_lattice_sums_all_segmentations():
     for word in ("a", "ab", "abab", "baab", "abbaabab" * 3):
         want = sum(math.prod(PIECES[p] for p in s) * 0.6 ** (len(s) - 1) * 0.4 for s in segmentations("▁" + word, PIECES))
         assert model.logq(word) == pytest.approx(math.log(want))
-        count = {}
-        for s in segmentations("▁" + word, PIECES):
-            weight = math.prod(PIECES[p] for p in s) * 0.6 ** (len(s) - 1) * 0.4 / want
-            for p in s:
-                count[p] = count.get(p, 0) + weight
-        got = [0.0] * len(model.names)
-        model.expect(word, got)
-        assert {p: pytest.approx(x) for p, x in count.items()} == {p: got[model.number[p]] for p in count}
     # a character without a piece is spelt in bytes
     assert model.logq("é") == pytest.approx(math.log(0.1 * (0.2 / 256) ** 2 * 0.6**2 * 0.4))
     assert math.isfinite(model.logq("ab" * 5000))
@@ -150,16 +142,56 @@ def test_scores_equal_plain_version(spark, awkward, awkward_rows, monkeypatch, f
     assert len({round(r.score, 9) for r in single.values()}) == 1
 
 
-def test_score_formula_of_one_word(spark):
-    docs = spark.createDataFrame([(2, "aa aa bb"), (3, "aa")], "doc_id long, text string")  # both in training
-    out = {r.doc_id: r for r in lm.score_documents(docs).collect()}
-    n, v = 6, 3
-    scores, go_on = lm.fitted(spark.createDataFrame([(b"aa", 3, 3), (b"bb", 1, 1)], "word binary, c long, n long"), lm.piece_scores(), 2)
-    model = lm.Lattice(scores, go_on)
-    p = lambda w, c: math.log10((c - lm.DISCOUNT) / n + lm.DISCOUNT * v / n * math.exp(model.logq(w)))
-    end = math.log10((2 - lm.DISCOUNT) / n)
-    assert out[2].score == pytest.approx(2 * p("aa", 3) + p("bb", 1) + end)
-    assert out[3].score == pytest.approx(p("aa", 3) + end)
+def plain_pieces():
+    """Piece probabilities, read from the vocabulary once more."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=lm.VOCABULARY)
+    weight = {}
+    for k in range(model.get_piece_size()):
+        if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
+            piece = "".join(c.lower() if c.isascii() else c for c in model.id_to_piece(k))
+            weight[piece] = weight.get(piece, 0) + 1 / (lm.ZIPF_SHIFT - model.get_score(k))
+    total = sum(weight.values())
+    return {p: (1 - lm.BYTE_MASS) * w / total for p, w in weight.items()}
+
+
+def plain_marginal(word, pieces):
+    """Sum over all segmentations by recursion on the first piece; no trie, no logarithms."""
+    done = {}
+
+    def ways(rest):
+        if not rest:
+            return 0.25 / 0.75
+        if rest not in done:
+            first = 0.0 if rest[0] in pieces else math.prod([0.75 * lm.BYTE_MASS / 256] * len(rest[0].encode())) * ways(rest[1:])
+            done[rest] = first + sum(0.75 * pieces[rest[:n]] * ways(rest[n:]) for n in range(1, len(rest) + 1) if rest[:n] in pieces)
+        return done[rest]
+
+    return ways("\u2581" + word)
+
+
+def test_query_scores_equal_plain_version(spark, tmp_path):
+    """``op10_lattice`` against sums over all segmentations of every word."""
+    words = ["the", "The", "lattice", "unbelievable", "na\u00efve", "x\u4e2dy", "zzqj", "don't", "3.14", "\u2581odd"]
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(None, "the"), (41, None), (42, "only-here " * 3)]
+    spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, word string, n int").write.parquet(str(tmp_path / "documents.parquet"))
+    pieces, low = plain_pieces(), lambda t: "".join(c.lower() if c.isascii() else c for c in t or "").split()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    count = {}
+    for i, t in rows:
+        for w in [] if held(i) else [*low(t), None]:
+            count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+
+    def price(w):
+        c = count.get(w, 0)
+        return math.log10((c - 0.75) / n if w is None else max(c - 0.75, 0) / n + 0.75 * v / n * plain_marginal(w, pieces))
+
+    want = sorted((str(i), held(i), pytest.approx(sum(map(price, [*low(t), None])))) for i, t in rows)
+    got = sorted((str(r.doc_id), r.held_out, r.score) for r in lm.op10_lattice(spark, str(tmp_path)).collect())
+    assert got == want and any(map(held, range(40)))
 
 
 def test_scores_of_nothing(spark, empty):
