@@ -1,14 +1,15 @@
 """Document fingerprints by order MinHash, in DataFrame operations only.
 
-A text's words give overlapping k-mers of ``K`` words.  Each k-mer is numbered
-by its occurrence, so repeats stay apart.  ``M`` permutations order the
-numbered k-mers by hash; the ``L`` least of each are put back into text order
-and their tuple is hashed.  Equal tuples need the same k-mers in the same
-order, so likeness follows edit distance and not only the set of k-mers.
-
-The permutations are the cyclic shifts of one random order: for the j-th, the
-least elements are the first ``L`` met going up from the j-th of ``M`` evenly
-spaced points of the hash ring.  One sort of a text's hashes thus serves all
+A text's words give overlapping k-mers of ``K`` words; a character of a script
+that is written without spaces is a word of its own.  Each k-mer is numbered by
+its occurrence, so repeats stay apart.  ``M`` permutations order the numbered
+k-mers by hash; the ``L`` least of each are put back into text order and their
+tuple is hashed.  Equal tuples need the same k-mers in the same order, so
+likeness follows edit distance and not only the set of k-mers.
+
+The permutations are ``RINGS`` independent random orders, each read from M / RINGS
+evenly spaced points of its hash ring: from a point the least elements are the
+first ``L`` met going up.  One sort of a text's hashes thus serves M / RINGS
 permutations.  A k-mer travels as one long: 38 bits of hash over 26 bits of
 position (67 million words).
 
@@ -30,7 +31,10 @@ from pyspark.sql import Window
 from lakewright.llm.common import let
 from lakewright.sources.shared import materialise
 
-K, L, M = 2, 2, 64
+K, L, M, RINGS = 2, 2, 64, 4
+
+#: Characters of scripts written without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = r"[\x{0E01}-\x{0EDF}\x{1000}-\x{109F}\x{1780}-\x{17D3}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 
 _POS_BITS = 26
 _LOW = (1 << _POS_BITS) - 1
@@ -55,7 +59,8 @@ def let_step(ordered: Column, n: Column, target: Column, at: Column, b: Column)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(F.coalesce(text, F.lit("")))
+    return F.filter(F.split(spaced, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def kmers(w: Column, k: int = K) -> Column:
@@ -77,23 +82,28 @@ def numbered(s: Column) -> Column:
     return F.sort_array(F.transform(s, one))
 
 
-def signature(u: Column, l: int = L, m: int = M) -> Column:  # noqa: E741
+def signature(u: Column, l: int = L, m: int = M, rings: int = RINGS) -> Column:  # noqa: E741
     """array<int> of ``m`` tuple hashes from :func:`numbered`."""
-    starts = F.array(*(F.lit(-(1 << 63) + j * ((1 << 64) // m)).cast("long") for j in range(m)))
+    points = m // rings
+    starts = F.array(*(F.lit(-(1 << 63) + j * ((1 << 64) // points)).cast("long") for j in range(points)))
     n = F.size(u)
 
-    def pick(first: Column) -> Column:
+    def ring(r: int) -> Column:
+        order = F.sort_array(F.transform(u, lambda x: F.xxhash64(x.bitwiseAND(F.lit(_HIGH)), F.lit(r)).bitwiseAND(F.lit(_HIGH)).bitwiseOR(x.bitwiseAND(F.lit(_LOW)))))
+        return let(order if r else u, lambda v: F.transform(starts, lambda p: pick(v, _below(v, p))))
+
+    def pick(v: Column, first: Column) -> Column:
         chosen = F.transform(
             F.sequence(F.lit(0), F.least(F.lit(l), n) - 1),
             lambda t: let(
-                F.get(u, F.pmod(first + t, n)),
+                F.get(v, F.pmod(first + t, n)),
                 lambda x: F.call_function("shiftleft", x, F.lit(64 - _POS_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(_POS_BITS))),
             ),
         )
         in_order = F.transform(F.sort_array(chosen), lambda x: x.bitwiseAND(F.lit((1 << (64 - _POS_BITS)) - 1)))
         return F.xxhash64(in_order).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
-    return F.when(n > 0, F.transform(starts, lambda p: pick(_below(u, p)))).otherwise(F.array_repeat(F.lit(0), m))
+    return F.when(n > 0, F.concat(*(ring(r) for r in range(rings)))).otherwise(F.array_repeat(F.lit(0), m))
 
 
 def fingerprint(df: DataFrame, text: str, out: str, k: int = K, l: int = L, m: int = M) -> DataFrame:  # noqa: E741
