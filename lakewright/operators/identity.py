@@ -65,7 +65,7 @@ def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
     shapes = match.mutual_best(rest(old2, new2)).select("o_id", "n_id", F.lit("overlap").alias("method"))
     found = materialise(prints.unionByName(shapes), "found")
     split = match.splits(left, old, new).select("o_id")
-    merge = left.join(match.splits(left, old, new, "n", "o").select("n_id"), "n_id", "left_semi").where(F.col("inter") >= match.PIECE * F.col("n_area" if match.has_shapes(old) else "o_area")).select("o_id")
+    merge = left.join(match.splits(left, old, new, "n", "o").select("n_id"), "n_id", "left_semi").where(F.col("inter") >= match.PIECE * F.col("n_area")).select("o_id")
     parts = split.unionByName(merge).distinct().withColumn("part", F.lit(True))
     measured = (
         found.join(pairs, ["o_id", "n_id"]).join(match.competitor(pairs, found), ["o_id", "n_id"]).join(parts, "o_id", "left").join(one, F.lit(True))
@@ -78,7 +78,9 @@ def boundary_links(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     by_shape = measured.select("o_id", "n_id", "method", tier.alias("tier"), "iou", "competitor_iou")
     linked = materialise(by_id.unionByName(by_shape), "links")
-    shared_ids = old.select("id").join(new.select("id"), "id").select(F.col("id").alias("o_id"), F.lit(True).alias("both"))
+    # a shared id counts against a record only where the footprints under it disagree
+    agreeing = pairs.where((F.col("o_id") == F.col("n_id")) & consistent).select(F.col("o_id").alias("id"))
+    shared_ids = old.select("id").join(new.select("id"), "id").join(agreeing, "id", "left_anti").select(F.col("id").alias("o_id"), F.lit(True).alias("both"))
     lost = old.select(F.col("id").alias("o_id")).join(linked, "o_id", "left_anti").join(parts, "o_id", "left").join(shared_ids, "o_id", "left")
     none = lambda t: F.lit(None).cast(t)
     unlinked = lost.select(
@@ -120,11 +122,11 @@ def chain_ends(links: DataFrame, through: DataFrame) -> DataFrame:
 
     Chains go on at the ids of ``through``, each the source of one link.  Every round doubles what a
     link has followed; an open chain of n links holds one of each lesser length, so a round that
-    closes none leaves only cycles and what leads into them.
+    closes none leaves only cycles and what leads into them.  A link to its own source ends a chain.
     """
     on = through.select(F.col("id").alias("_on")).distinct()
     now = links.join(on, F.col("to_id") == F.col("_on"), "left")
-    now = materialise(now.select("from_id", "to_id", F.col("to_id").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("_on").isNotNull().alias("open")))
+    now = materialise(now.select("from_id", "to_id", F.col("to_id").alias("at"), F.lit(1).cast("long").alias("hops"), (F.col("_on").isNotNull() & (F.col("from_id") != F.col("to_id"))).alias("open")))
     left = now.where("open").count()
     while left:
         ahead = now.select(F.col("from_id").alias("_f"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("open").alias("_open"))
@@ -149,7 +151,8 @@ def collisions(links: DataFrame, held: DataFrame) -> DataFrame:
     links = materialise(links.select("from_id", "to_id"))
     if _one_link_each(links):
         through = links.select(F.col("from_id").alias("id")).join(held.select("id"), "id", "left_semi")
-        ends = chain_ends(links, through).where("not open")
+        # a chain that ends at a link to its own source ends at an id that this link gives up
+        ends = chain_ends(links, through).where("not open").join(through.select(F.col("id").alias("at")), "at", "left_anti")
         return ends.join(held.select(F.col("id").alias("at")), "at", "left_semi").select("from_id", "to_id")
     refused = materialise(links.limit(0))
     count = 0
@@ -166,7 +169,7 @@ def collisions(links: DataFrame, held: DataFrame) -> DataFrame:
 
 def link_order(links: DataFrame) -> DataFrame:
     """(from_id, to_id, step): a link runs after the one that frees its target; links on a cycle, or
-    that wait for one, have a null step.
+    that wait for one, have a null step.  A link to its own source waits for nothing.
 
     Where ids have one link each it takes rounds by the logarithm of the longest chain, else by its length.
     """
@@ -179,7 +182,7 @@ def link_order(links: DataFrame) -> DataFrame:
     while left:
         waits = now.where("step is null").select(F.col("from_id").alias("_w")).distinct()
         after = now.join(waits, F.col("to_id") == F.col("_w"), "left")
-        after = materialise(after.select("from_id", "to_id", F.coalesce("step", F.when(F.col("_w").isNull(), F.lit(step))).alias("step")))
+        after = materialise(after.select("from_id", "to_id", F.coalesce("step", F.when(F.col("_w").isNull() | (F.col("from_id") == F.col("to_id")), F.lit(step))).alias("step")))
         discard(now)
         now, before, step = after, left, step + 1
         left = now.where("step is null").count()

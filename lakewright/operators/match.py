@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lakewright.operators import polygons
+from lakewright.sources.shared import materialise
 
 RECT = ("x0", "y0", "x1", "y1")
 MIN_IOU, PADDING = 0.5, 2.0
@@ -124,31 +125,52 @@ def cascade(old: DataFrame, new: DataFrame, fingerprint: Column, minimum: float
     )
 
 
-def split_candidates(pairs: DataFrame, whole: str = "o", piece: str = "n", share: float = PIECE, coverage: float = COVERAGE) -> DataFrame:
-    """Records covered by two or more pieces; pieces must not overlap each other.
+def _union_area(rects: Column) -> Column:
+    """Area of the union of array<struct<x0, y0, x1, y1>>: slab by slab between neighbouring x, the merged length in y."""
+    xs = F.array_sort(F.array_distinct(F.concat(F.transform(rects, lambda r: r["x0"]), F.transform(rects, lambda r: r["x1"]))))
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(None).cast("double").alias("top"))
+
+    def grow(acc: Column, r: Column) -> Column:
+        more = F.greatest(r["y1"] - F.greatest(r["y0"], F.coalesce(acc["top"], r["y0"])), F.lit(0.0))
+        return F.struct((acc["n"] + more).alias("n"), F.greatest(acc["top"], r["y1"]).alias("top"))
+
+    def slab(i: Column) -> Column:
+        left, right = F.get(xs, i), F.get(xs, i + 1)
+        own = F.filter(rects, lambda r: (r["x0"] <= left) & (r["x1"] >= right))
+        low = F.array_sort(F.transform(own, lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"))))
+        return (right - left) * F.aggregate(low, zero, grow, lambda acc: acc["n"])
+
+    slabs = F.when(F.size(xs) > 1, F.sequence(F.lit(0), F.size(xs) - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(slabs, F.lit(0.0), lambda total, i: total + slab(i))
+
+
+def split_candidates(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n", share: float = PIECE, least: float = COVERAGE) -> DataFrame:
+    """Rectangles of which two or more pieces each take ``share`` and whose union covers ``least``:
+    id, pieces, ids (of the pieces, ascending), coverage.
 
     Swapping ``whole`` and ``piece`` gives merge candidates.
     """
-    got = pairs.where(F.col("inter") >= share * F.col(f"{piece}_area"))
-    return (
-        got.groupBy(f"{whole}_id")
-        .agg(F.count(F.lit(1)).alias("pieces"), (F.sum("inter") / F.max(f"{whole}_area")).alias("coverage"))
-        .where((F.col("pieces") >= 2) & (F.col("coverage") >= coverage))
-    )
+    sides = {"o": old, "n": new}
+    corners = lambda p: sides[p].select(F.col("id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in RECT))
+    got = pairs.where(F.col("inter") >= share * F.col(f"{whole}_area")).join(corners("o"), "o_id").join(corners("n"), "n_id")
+    cut = F.struct(*(f(f"o_{c}", f"n_{c}").alias(c) for c, f in zip(RECT, (F.greatest, F.greatest, F.least, F.least))))
+    own = got.groupBy(f"{whole}_id").agg(F.array_sort(F.collect_list(f"{piece}_id")).alias("ids"), F.collect_list(cut).alias("_cuts"), F.max(f"{whole}_area").alias("_area"))
+    own = own.where(F.size("ids") >= 2).withColumn("coverage", _union_area(F.col("_cuts")) / F.col("_area"))
+    return own.select(f"{whole}_id", F.size("ids").cast("long").alias("pieces"), "ids", "coverage").where(F.col("coverage") >= least)
 
 
 def split_shapes(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n", share: float = PIECE, least: float = COVERAGE) -> DataFrame:
-    """Polygons of which two or more pieces each take ``share`` and whose union covers ``least``: id, pieces, coverage."""
+    """As :func:`split_candidates` for polygons."""
     sides = {"o": old, "n": new}
     rings = lambda p, out: sides[p].select(F.col("id").alias(f"{p}_id"), F.col("rings").alias(out))
     got = pairs.where(F.col("inter") >= share * F.col(f"{whole}_area")).join(rings(piece, "_piece"), f"{piece}_id")
-    own = got.groupBy(f"{whole}_id").agg(F.count(F.lit(1)).alias("pieces"), F.collect_list("_piece").alias("_pieces")).where("pieces >= 2")
+    own = got.groupBy(f"{whole}_id").agg(F.array_sort(F.collect_list(f"{piece}_id")).alias("ids"), F.collect_list("_piece").alias("_pieces")).where(F.size("ids") >= 2)
     own = own.join(rings(whole, "_whole"), f"{whole}_id")
-    return own.select(f"{whole}_id", "pieces", polygons.coverage("_whole", "_pieces").alias("coverage")).where(F.col("coverage") >= least)
+    return own.select(f"{whole}_id", F.size("ids").cast("long").alias("pieces"), "ids", polygons.coverage("_whole", "_pieces").alias("coverage")).where(F.col("coverage") >= least)
 
 
 def splits(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n") -> DataFrame:
-    return split_shapes(pairs, old, new, whole, piece) if has_shapes(old) else split_candidates(pairs, whole, piece)
+    return (split_shapes if has_shapes(old) else split_candidates)(pairs, old, new, whole, piece)
 
 
 def competitor(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -157,14 +179,34 @@ def competitor(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return others.groupBy("o_id", "n_id").agg(F.coalesce(F.max(F.when(F.col("other") != F.col("o_id"), F.col("iou"))), F.lit(0.0)).alias("competitor_iou"))
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float, rings: int) -> DataFrame:
-    """(id, nearest_id, d2): for each point (id, x, y) of ``left`` the nearest of ``right`` within
-    ``rings`` cells, ties by id; a right point may serve several."""
-    r = right.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    off = F.sequence(F.lit(-rings), F.lit(rings))
-    probe = left.withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off))
-    probe = probe.select("id", "x", "y", (F.floor(F.col("x") / cell) + F.col("dx")).alias("cx"), (F.floor(F.col("y") / cell) + F.col("dy")).alias("cy"))
-    d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
-    met = probe.join(r, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= (cell * rings) ** 2)
-    best = met.groupBy("id").agg(F.min(F.struct("d2", "r_id")).alias("b"))
-    return best.select("id", F.col("b.r_id").alias("nearest_id"), F.col("b.d2").alias("d2"))
+def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(id, nearest_id, d2): for each point (id, x, y) of ``left`` the nearest of ``right`` at any
+    distance, ties by id; a right point may serve several, and those that serve none follow with a
+    null id.  Without ``right`` the nearest is null.
+
+    Points meet those of the nine grid cells around them.  A point whose nearest lies within one cell
+    is done; the others go on with cells of twice the size.
+    """
+    left, right = left.select("id", "x", "y"), materialise(right.select("id", "x", "y"), "right")
+    spans = [F.max(c) - F.min(c) for c in ("x", "y")]
+    extent = left.unionByName(right).agg(F.greatest(*spans).alias("e")).first()["e"] or 0.0
+    todo, done = materialise(left, "left"), None
+    while True:
+        whole = cell >= extent
+        at = [F.floor(F.col(c) / cell).alias(k) for c, k in (("x", "cx"), ("y", "cy"))]
+        r = right.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), *at)
+        around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+        probe = todo.select("id", "x", "y", *at).withColumn("dx", around).withColumn("dy", around)
+        probe = probe.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+        d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
+        best = probe.join(r, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "r_id")).alias("b"))
+        met = todo.join(best, "id", "left").select("id", "x", "y", F.col("b.r_id").alias("nearest_id"), F.col("b.d2").alias("d2"))
+        near = F.lit(True) if whole else F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
+        met = materialise(met.withColumn("near", near), "met")
+        found = met.where("near").select("id", "nearest_id", "d2")
+        done = found if done is None else done.unionByName(found)
+        if whole or met.where("not near").isEmpty():
+            break
+        todo, cell = met.where("not near").select("id", "x", "y"), cell * 2
+    unclaimed = right.select(F.col("id").alias("nearest_id")).join(done.select("nearest_id"), "nearest_id", "left_anti")
+    return done.unionByName(unclaimed.select(F.lit(None).cast(done.schema["id"].dataType).alias("id"), "nearest_id", F.lit(None).cast("double").alias("d2")))

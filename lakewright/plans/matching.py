@@ -26,6 +26,17 @@ def _fp_sql(old: str, new: str, out: str) -> str:
     return f"{out} AS (SELECT o_id, n_id FROM ({u(old, 'o_id')}) JOIN ({u(new, 'n_id')}) USING (fp))"
 
 
+def _split_sql(whole: str, piece: str) -> str:
+    """Wholes of which two or more pieces take a tenth each and whose union, slab by slab, covers half."""
+    return f"""pc AS (SELECT w.id AS w_id, p.id AS p_id, (w.x1 - w.x0) * (w.y1 - w.y0) AS w_area, greatest(w.x0, p.x0) AS x0, greatest(w.y0, p.y0) AS y0, least(w.x1, p.x1) AS x1, least(w.y1, p.y1) AS y1
+  FROM {whole} w JOIN {piece} p ON w.x0 < p.x1 AND p.x0 < w.x1 AND w.y0 < p.y1 AND p.y0 < w.y1),
+big AS (SELECT * FROM pc WHERE (x1 - x0) * (y1 - y0) >= 0.1 * w_area), xs AS (SELECT w_id, x0 AS x FROM big UNION SELECT w_id, x1 FROM big),
+sl AS (SELECT w_id, x AS a, lead(x) OVER (PARTITION BY w_id ORDER BY x) AS b FROM xs),
+co AS (SELECT sl.w_id, b - a AS width, y0, y1, max(y1) OVER (PARTITION BY sl.w_id, a ORDER BY y0, y1, p_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM sl JOIN big USING (w_id) WHERE x0 <= a AND x1 >= b),
+un AS (SELECT w_id, sum(width * greatest(0, y1 - greatest(y0, coalesce(top, y0)))) AS u FROM co GROUP BY w_id),
+sp AS (SELECT w_id, count(*) AS pieces, string_agg(CAST(p_id AS VARCHAR), ',' ORDER BY p_id) AS ids, round(max(u) / max(w_area), 6) AS coverage FROM big JOIN un USING (w_id) GROUP BY w_id HAVING count(*) >= 2 AND max(u) / max(w_area) >= 0.5)"""
+
+
 _LINKS = f"""cons AS (SELECT * FROM pa WHERE o_id = n_id AND iou >= 0.5 AND centroid_m <= 2.0), sh AS (SELECT id FROM r1 JOIN r2 USING (id)),
 reg AS (SELECT CASE WHEN (SELECT count(*) FROM sh) = 0 THEN CASE WHEN (SELECT count(*) FROM r1) > 0 AND (SELECT count(*) FROM r2) > 0 THEN 'renumbered' ELSE 'continuous' END
   WHEN (SELECT count(*) FROM cons) / (SELECT count(*) FROM sh) >= 0.95 THEN 'continuous' WHEN (SELECT count(*) FROM cons) / (SELECT count(*) FROM sh) < 0.5 THEN 'renumbered' ELSE 'mixed' END AS regime),
@@ -34,9 +45,9 @@ a1 AS (SELECT * FROM r1 WHERE id NOT IN (SELECT o_id FROM byid)), b1 AS (SELECT
 {_fp_sql('a1', 'b1', 'fpr')},
 p2 AS (SELECT * FROM pa WHERE o_id IN (SELECT id FROM a1) AND n_id IN (SELECT id FROM b1)),
 p3 AS (SELECT * FROM p2 WHERE o_id NOT IN (SELECT o_id FROM fpr) AND n_id NOT IN (SELECT n_id FROM fpr)), {_BEST.format('p3')},
-spl AS (SELECT o_id FROM p2 WHERE inter >= 0.1 * n_area GROUP BY o_id HAVING count(*) >= 2 AND sum(inter) / max(o_area) >= 0.5),
-mrg AS (SELECT n_id FROM p2 WHERE inter >= 0.1 * o_area GROUP BY n_id HAVING count(*) >= 2 AND sum(inter) / max(n_area) >= 0.5),
-part AS (SELECT o_id FROM spl UNION SELECT o_id FROM p2 WHERE n_id IN (SELECT n_id FROM mrg) AND inter >= 0.1 * o_area),
+spl AS (SELECT o_id FROM p2 WHERE inter >= 0.1 * o_area GROUP BY o_id HAVING count(*) >= 2 AND sum(inter) / max(o_area) >= 0.5),
+mrg AS (SELECT n_id FROM p2 WHERE inter >= 0.1 * n_area GROUP BY n_id HAVING count(*) >= 2 AND sum(inter) / max(n_area) >= 0.5),
+part AS (SELECT o_id FROM spl UNION SELECT o_id FROM p2 WHERE n_id IN (SELECT n_id FROM mrg) AND inter >= 0.1 * n_area),
 fnd AS (SELECT o_id, n_id, 'fingerprint' AS method FROM fpr UNION ALL SELECT o_id, n_id, 'overlap' FROM mb UNION ALL SELECT o_id, n_id, 'same_id' FROM byid),
 cmpt AS (SELECT f.o_id, f.n_id, f.method, coalesce(max(p.iou) FILTER (p.o_id <> f.o_id), 0.0::DOUBLE) AS competitor_iou FROM fnd f LEFT JOIN pa p ON p.n_id = f.n_id GROUP BY ALL),
 ln AS (SELECT c.o_id, c.n_id, c.method, CASE
@@ -44,7 +55,7 @@ ln AS (SELECT c.o_id, c.n_id, c.method, CASE
   WHEN c.method = 'fingerprint' OR (pa.iou >= 0.9 AND centroid_m <= 1.0) THEN 'A'
   WHEN (c.method = 'same_id' OR (pa.iou >= 0.5 AND centroid_m <= 2.0)) AND n_area / o_area BETWEEN 0.67 AND 1.5 AND competitor_iou < 0.2 THEN 'B' ELSE 'C' END AS tier, pa.iou, competitor_iou
   FROM cmpt c JOIN pa USING (o_id, n_id), reg),
-un AS (SELECT id AS o_id, CASE WHEN id IN (SELECT id FROM sh) THEN 'inconsistent_id' WHEN id IN (SELECT o_id FROM part) THEN 'split_or_merge' ELSE 'no_match' END AS method FROM r1 WHERE id NOT IN (SELECT o_id FROM ln)),
+un AS (SELECT id AS o_id, CASE WHEN id IN (SELECT id FROM sh) AND id NOT IN (SELECT o_id FROM cons) THEN 'inconsistent_id' WHEN id IN (SELECT o_id FROM part) THEN 'split_or_merge' ELSE 'no_match' END AS method FROM r1 WHERE id NOT IN (SELECT o_id FROM ln)),
 bl AS (SELECT * FROM ln UNION ALL SELECT o_id, NULL, method, CASE method WHEN 'no_match' THEN 'D' ELSE 'C' END, NULL, NULL FROM un)"""
 
 
@@ -84,22 +95,20 @@ def match_cascade(spark, d):
     return M.cascade(*_rects(spark, d), M.rect_fingerprint())
 
 
-@query(
-    f"""WITH {E.RECTANGLES}, {_PAIRS} SELECT o_id, count(*) AS pieces, round(sum(inter) / max(o_area), 6) AS coverage FROM pa WHERE inter >= 0.1 * n_area GROUP BY o_id
-HAVING count(*) >= 2 AND sum(inter) / max(o_area) >= 0.5"""
-)
+def _splits(old, new, whole, piece):
+    rows = _round(M.split_candidates(M.overlapping(old, new), old, new, whole, piece), "coverage", n=6)
+    return rows.withColumn("ids", F.array_join("ids", ","))
+
+
+@query(f"WITH {E.RECTANGLES}, {E.PIECES}, {_split_sql('r1', 'r3')} SELECT w_id AS o_id, pieces, ids, coverage FROM sp")
 def split_candidates(spark, d):
-    return _round(M.split_candidates(pairs(spark, d)), "coverage", n=6)
+    return _splits(E.footprints(spark, d, 1), E.pieces(spark, d), "o", "n")
 
 
-@query(
-    f"""WITH {E.RECTANGLES}, {_PAIRS} SELECT o_id AS n_id, count(*) AS pieces, round(sum(inter) / max(o_area), 6) AS coverage FROM pa WHERE inter >= 0.1 * n_area GROUP BY o_id
-HAVING count(*) >= 2 AND sum(inter) / max(o_area) >= 0.5"""
-)
+@query(f"WITH {E.RECTANGLES}, {E.PIECES}, {_split_sql('r1', 'r3')} SELECT w_id AS n_id, pieces, ids, coverage FROM sp")
 def merge_candidates(spark, d):
-    """Merges of the way back: the later edition's halves against the earlier whole."""
-    a, b = _rects(spark, d)
-    return _round(M.split_candidates(M.overlapping(b, a), "n", "o"), "coverage", n=6)
+    """Merges of the way back: the later edition's pieces against the earlier whole."""
+    return _splits(E.pieces(spark, d), E.footprints(spark, d, 1), "n", "o")
 
 
 @query(
@@ -160,20 +169,23 @@ def link_chain(spark, d):
     return _round(I.compose_chain(_steps(spark, d)), "iou")
 
 
-# chains of ids, each freeing the next: k -> k + 1000 for k % 3 = 0 in blocks, plus two-cycles
-_MOVES = """mv AS (SELECT p_partkey AS from_id, CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 WHEN p_partkey % 50 = 8 THEN p_partkey - 1 ELSE p_partkey + 10 END AS to_id
-  FROM part WHERE p_partkey % 50 IN (0, 10, 20, 7, 8))"""
+# every part moves to the next number: a chain of 1200 links up to a number that stays, longer ones that
+# end at a free number, two-cycles, and links to themselves
+_MOVES = """mv AS (SELECT p_partkey AS from_id, p_partkey + CASE WHEN p_partkey % 3000 = 2500 THEN 10000000 ELSE CASE p_partkey % 50 WHEN 6 THEN 4 WHEN 7 THEN 1 WHEN 8 THEN -1 WHEN 9 THEN 0 ELSE 1 END END AS to_id
+  FROM part WHERE p_partkey % 3000 <> 1200)"""
 
 
 def _moves(spark, d):
     k = F.col("p_partkey")
-    p = E.table(spark, d, "part").where((k % 50).isin(0, 10, 20, 7, 8))
-    return p.select(k.alias("from_id"), F.when(k % 50 == 7, k + 1).when(k % 50 == 8, k - 1).otherwise(k + 10).alias("to_id"))
+    p = E.table(spark, d, "part").where(k % 3000 != 1200)
+    at = k % 50
+    step = F.when(k % 3000 == 2500, 10_000_000).when(at == 6, 4).when(at == 8, -1).when(at == 9, 0).otherwise(1)
+    return p.select(k.alias("from_id"), (k + step).alias("to_id"))
 
 
 @query(
-    f"""WITH RECURSIVE {_MOVES}, o AS (SELECT from_id, to_id, 0 AS step FROM mv WHERE to_id NOT IN (SELECT from_id FROM mv)
-  UNION ALL SELECT mv.from_id, mv.to_id, o.step + 1 FROM mv JOIN o ON mv.to_id = o.from_id)
+    f"""WITH RECURSIVE {_MOVES}, o AS (SELECT from_id, to_id, 0 AS step FROM mv WHERE to_id = from_id OR to_id NOT IN (SELECT from_id FROM mv)
+  UNION ALL SELECT mv.from_id, mv.to_id, o.step + 1 FROM mv JOIN o ON mv.to_id = o.from_id WHERE mv.to_id <> mv.from_id)
 SELECT from_id, to_id, step FROM o UNION ALL SELECT from_id, to_id, NULL FROM mv WHERE from_id NOT IN (SELECT from_id FROM o)"""
 )
 def link_order(spark, d):
@@ -197,8 +209,9 @@ def apply_links(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {_MOVES}, e AS (SELECT from_id AS a, to_id AS b FROM mv UNION SELECT to_id, from_id FROM mv),
-r AS (SELECT a AS id, a AS x FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a) SELECT id, min(x) AS canonical FROM r GROUP BY id"""
+    f"""WITH RECURSIVE {_MOVES}, e AS (SELECT * FROM mv WHERE from_id <> to_id), w AS (SELECT from_id AS head, from_id AS id FROM e WHERE from_id NOT IN (SELECT to_id FROM e)
+  UNION ALL SELECT w.head, e.to_id FROM w JOIN e ON e.from_id = w.id)
+SELECT id, min(id) OVER (PARTITION BY head) AS canonical FROM w UNION ALL SELECT from_id, least(from_id, to_id) FROM mv WHERE from_id NOT IN (SELECT id FROM w)"""
 )
 def alias_closure(spark, d):
     return I.alias_closure(_moves(spark, d))
@@ -223,17 +236,18 @@ def identity_manifest(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 1000) * 1.0::DOUBLE AS x, (s_suppkey * 91 % 1000) * 1.0::DOUBLE AS y FROM supplier),
+    """WITH l AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 1000) * 1.0::DOUBLE + CASE WHEN s_suppkey % 7 = 0 THEN 9000.0 ELSE 0.0 END AS x, (s_suppkey * 91 % 1000) * 1.0::DOUBLE AS y FROM supplier),
 r AS (SELECT p_partkey AS id, (p_partkey * 53 % 1000) * 1.0::DOUBLE AS x, (p_partkey * 29 % 1000) * 1.0::DOUBLE AS y FROM part),
-k AS (SELECT l.id, r.id AS nearest_id, (l.x - r.x) ** 2 + (l.y - r.y) ** 2 AS d2, row_number() OVER (PARTITION BY l.id ORDER BY (l.x - r.x) ** 2 + (l.y - r.y) ** 2, r.id) AS n
-  FROM l JOIN r ON (l.x - r.x) ** 2 + (l.y - r.y) ** 2 <= 150.0 ** 2)
-SELECT id, nearest_id, d2 FROM k WHERE n = 1"""
+k AS (SELECT l.id, r.id AS nearest_id, (l.x - r.x) ** 2 + (l.y - r.y) ** 2 AS d2, row_number() OVER (PARTITION BY l.id ORDER BY (l.x - r.x) ** 2 + (l.y - r.y) ** 2, r.id) AS n FROM l, r),
+f AS (SELECT id, nearest_id, d2 FROM k WHERE n = 1)
+SELECT * FROM f UNION ALL SELECT NULL, id, NULL FROM r WHERE id NOT IN (SELECT nearest_id FROM f)"""
 )
 def nearest_removed(spark, d):
-    xy = lambda c, a, b: [F.col(c).alias("id"), ((F.col(c) * a % 1000) * 1.0).cast("double").alias("x"), ((F.col(c) * b % 1000) * 1.0).cast("double").alias("y")]
-    left = E.table(spark, d, "supplier").select(*xy("s_suppkey", 37, 91))
-    right = E.table(spark, d, "part").select(*xy("p_partkey", 53, 29))
-    return M.nearest(left, right, 50.0, 3)
+    """Added records with the nearest removed one at any distance, and removed ones that none claims."""
+    xy = lambda c, a, b, far: [F.col(c).alias("id"), ((F.col(c) * a % 1000) * 1.0 + far).cast("double").alias("x"), ((F.col(c) * b % 1000) * 1.0).cast("double").alias("y")]
+    left = E.table(spark, d, "supplier").select(*xy("s_suppkey", 37, 91, F.when(F.col("s_suppkey") % 7 == 0, 9000.0).otherwise(0.0)))
+    right = E.table(spark, d, "part").select(*xy("p_partkey", 53, 29, F.lit(0.0)))
+    return M.nearest(left, right, 50.0)
 
 
 _MESH = "m AS (SELECT DISTINCT CAST(53394500 + p_partkey % 80 AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(1 + p_partkey % 4 AS VARCHAR) END AS code FROM part)"

@@ -34,17 +34,29 @@ def plausibility_lint(spark, d):
     return rows.select("id", F.inline(F.array_compact(F.array(*rules))))
 
 
-_LIFE = [
-    ("a", "split", ["1"], ["2", "3"], "cut", "2024-05-01", "2024-04-01"), ("b", "split", ["1"], ["2"], "cut", "2024-05-01", None), ("c", "merge", ["1", "2"], ["3"], "", "2024-02-30", None),
-    ("d", "move", [], ["x y"], "r", "2024-05-01", "2024-06-01"), ("e", "rebuild", ["1", "1"], ["2"], "r", "20240501", "2024-01-01"), ("f", "merge", ["1"], ["2"], "r", "2024-05-01", "x"),
-]
-_LIFE_OUT = [("a", ""), ("b", "split_cardinality"), ("c", "reason,confirmedOn"), ("d", "kind,oldIds,newIds,order"), ("e", "oldIds_duplicate,confirmedOn"), ("f", "merge_cardinality,occurredOn")]
+_LIFE = """e AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'split' WHEN 1 THEN 'merge' WHEN 2 THEN 'rebuild' WHEN 3 THEN 'move' END AS kind, o_orderkey % 4 AS nold, o_orderkey % 3 AS nnew, o_orderkey % 11 = 0 AS twice, o_orderkey % 13 = 0 AS spaced,
+  CASE o_orderkey % 17 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE o_orderpriority END AS reason, CASE o_orderkey % 19 WHEN 0 THEN NULL WHEN 1 THEN '2024-02-30' WHEN 2 THEN '20240501' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS confirmed,
+  CASE o_orderkey % 23 WHEN 0 THEN 'x' WHEN 1 THEN '2999-01-01' WHEN 2 THEN '1900-01-01' END AS occurred FROM orders)"""
 
 
-@query("SELECT id, errors FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LIFE_OUT) + ") t(id, errors)")
+@query(
+    f"""WITH {_LIFE}, f AS (SELECT *, nold = 0 AS no_old, nnew = 0 OR spaced AS no_new, nold + CASE WHEN twice THEN 1 ELSE 0 END AS olds, nnew AS news,
+  coalesce(regexp_full_match(confirmed, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_cast(confirmed AS DATE) IS NOT NULL, false) AS day1, coalesce(regexp_full_match(occurred, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_cast(occurred AS DATE) IS NOT NULL, false) AS day2 FROM e)
+SELECT id, concat_ws(',', CASE WHEN kind IS NULL OR kind = 'move' THEN 'kind' END, CASE WHEN no_old THEN 'oldIds' WHEN twice THEN 'oldIds_duplicate' END, CASE WHEN no_new THEN 'newIds' END,
+  CASE WHEN kind = 'split' AND NOT no_old AND NOT no_new AND NOT (olds = 1 AND news >= 2) THEN 'split_cardinality' END, CASE WHEN kind = 'merge' AND NOT no_old AND NOT no_new AND NOT (olds >= 2 AND news = 1) THEN 'merge_cardinality' END,
+  CASE WHEN trim(coalesce(reason, '')) = '' THEN 'reason' END, CASE WHEN NOT day1 THEN 'confirmedOn' END, CASE WHEN occurred IS NOT NULL AND NOT day2 THEN 'occurredOn' END, CASE WHEN day1 AND day2 AND occurred > confirmed THEN 'order' END) AS errors FROM f"""
+)
 def lifecycle_validation(spark, d):
-    rows = spark.createDataFrame(_LIFE, "id string, kind string, old array<string>, new array<string>, reason string, confirmed string, occurred string")
-    return rows.select("id", F.array_join(V.lifecycle_errors(*(F.col(c) for c in ("kind", "old", "new", "reason", "confirmed", "occurred"))), ",").alias("errors"))
+    """The rules that each of many lifecycle events breaks: kinds, ids missing, doubled or with spaces, dates."""
+    k = F.col("o_orderkey")
+    ids = lambda n, letter: F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(letter), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    old = F.when((k % 11 == 0) & (k % 4 > 0), F.concat(ids(k % 4, "a"), F.array(F.lit("a1")))).otherwise(ids(k % 4, "a"))
+    new = F.when((k % 13 == 0) & (k % 3 > 0), F.transform(ids(k % 3, "b"), lambda x: F.concat(x, F.lit(" ")))).otherwise(ids(k % 3, "b"))
+    kind = F.when(k % 5 == 0, "split").when(k % 5 == 1, "merge").when(k % 5 == 2, "rebuild").when(k % 5 == 3, "move")
+    reason = F.when(k % 17 == 0, None).when(k % 17 == 1, "  ").otherwise(F.col("o_orderpriority"))
+    confirmed = F.when(k % 19 == 0, None).when(k % 19 == 1, "2024-02-30").when(k % 19 == 2, "20240501").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    occurred = F.when(k % 23 == 0, "x").when(k % 23 == 1, "2999-01-01").when(k % 23 == 2, "1900-01-01")
+    return E.table(spark, d, "orders").select(k.alias("id"), F.array_join(V.lifecycle_errors(kind, old, new, reason, confirmed, occurred), ",").alias("errors"))
 
 
 @query(
@@ -93,7 +105,7 @@ def proposal_class(spark, d):
     return E.table(spark, d, "part").select(k.alias("id"), V.proposal_class(branch, title, k % 2 != 0, k % 7 == 0).alias("class"))
 
 
-_PATHS = ["data/a.gml", "data/run.py", "docs/x.md", "README.md", "city/udx/bldg/a.gml", ".github/workflows/ci.yml", ".github/x", "settings.json", "logo.png", "tools/x.py", "provenance/m.json", "docs/a.sh"]
+_PATHS = ["data/part_1.xml", "data/run_all.py", "docs/how.txt", "NOTES.md", "town/udx/veg/part_2.xml", ".github/workflows/nightly.yml", ".github/owners", "limits.json", "sign.png", "bin/make_all.py", "provenance/batch.json", "docs/make_all.sh"]
 _SCOPE = ["data", "rejected", "docs", "docs", "data", "pin", "tooling", "config", "config", "rejected", "data", "rejected"]
 
 
@@ -110,16 +122,23 @@ def contribution_tier(spark, d):
     return rows.withColumn("tier", V.contribution_tier(F.col("merged")))
 
 
-_FAMILY_PATHS = [
-    ("/address/a/lodType", "address"), ("/x/lodType", "lod_quality"), ("/bldgDataQualityAttribute/lod1HeightType", "lod_quality"), ("/bldgDataQualityAttribute/src", "source_quality"),
-    ("/DisasterRiskAttribute/depth", "disaster_risk"), ("/storeysAboveGround", "storeys"), ("/a/storeysAboveGround", "other_attributes"), ("/usage", "usage_class_landuse"), ("/x/detailedUsage", "usage_class_landuse"),
-    ("/x/urbanPlanType", "planning_zoning_rates"), ("/measuredHeight", "survey_building_detail"), ("/buildingIDAttribute/id", "source_identity"), ("/stringAttribute/v", "generic_attributes"), ("/other", "other_attributes"),
-]
+_HEADS = ["/address/a", "/bldgDataQualityAttribute", "/x", "", "/DisasterRiskAttribute", "/buildingIDAttribute", "/stringAttribute"]
+_LEAVES = ["lodType", "lod1HeightType", "src", "depth", "storeysAboveGround", "usage", "detailedUsage", "urbanPlanType", "measuredHeight", "id", "v"]
 
 
-@query("SELECT path, family FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FAMILY_PATHS) + ") t(path, family)")
+@query(
+    f"""WITH p AS (SELECT p_partkey AS id, ({_HEADS})[1 + p_partkey % 7] AS head, ({_LEAVES})[1 + p_partkey % 11] AS leaf FROM part)
+SELECT id, head || '/' || leaf AS path, CASE WHEN head = '/address/a' THEN 'address' WHEN leaf IN ('lodType', 'lod1HeightType') THEN 'lod_quality' WHEN head = '/bldgDataQualityAttribute' THEN 'source_quality'
+  WHEN head = '/DisasterRiskAttribute' THEN 'disaster_risk' WHEN head = '' AND leaf = 'storeysAboveGround' THEN 'storeys' WHEN leaf = 'detailedUsage' OR (head = '' AND leaf = 'usage') THEN 'usage_class_landuse'
+  WHEN leaf = 'urbanPlanType' THEN 'planning_zoning_rates' WHEN leaf = 'measuredHeight' THEN 'survey_building_detail' WHEN head = '/buildingIDAttribute' THEN 'source_identity'
+  WHEN head = '/stringAttribute' THEN 'generic_attributes' ELSE 'other_attributes' END AS family FROM p"""
+)
 def attribute_family(spark, d):
-    return spark.createDataFrame([(p,) for p, _ in _FAMILY_PATHS], "path string").select("path", T.attribute_family(F.col("path")).alias("family"))
+    """Paths of every head with every leaf, each in one family."""
+    k = F.col("p_partkey")
+    pick = lambda names: F.get(F.array(*(F.lit(x) for x in names)), (k % len(names)).cast("int"))
+    rows = E.table(spark, d, "part").select(k.alias("id"), F.concat(pick(_HEADS), F.lit("/"), pick(_LEAVES)).alias("path"))
+    return rows.withColumn("family", T.attribute_family(F.col("path")))
 
 
 @query(f"WITH {E.SQL} SELECT count(*) AS records, count(DISTINCT id) AS ids, count(*) - count(DISTINCT id) AS repeated FROM e2 WHERE priority = '1-URGENT'")

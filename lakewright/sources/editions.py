@@ -84,6 +84,20 @@ def footprints(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return whole.unionByName(west).unionByName(east)
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edition 2 of the footprints and, on the records that it cuts in two: a sliver, a third piece
+    that overlaps both halves, and a wide one that takes part of the record and lies beyond it."""
+    k = F.col("p_partkey")
+    cut = table(spark, sf_dir, "part").where((k % 10 == 0) & (k % 23 != 0)).select(
+        k.alias("i"), ((k % 200) * 20.0).alias("x"), (F.floor(k / 200) * 20.0).alias("y"), (F.lit(8.0) + k % 5).alias("w"), (F.lit(6.0) + k % 4).alias("h")
+    )
+    i, x, y, w, h = (F.col(c) for c in "ixywh")
+    part = lambda df, n, x0, y0, x1, y1: df.select((i + n).alias("id"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    out = footprints(spark, sf_dir, 2).unionByName(part(cut, 4_000_000, x, y, x + w * 0.0625, y + h))
+    out = out.unionByName(part(cut.where(i % 20 == 0), 5_000_000, x + w * 0.25, y + h * 0.25, x + w * 0.75, y + h * 0.75))
+    return out.unionByName(part(cut.where(i % 30 == 0), 6_000_000, x + w * 0.75, y - 5.0, x + w + 3.0, y + h * 0.5))
+
+
 #: The same footprints for DuckDB, as r1 and r2.
 RECTANGLES = """
 rb AS (SELECT p_partkey AS id, (p_partkey % 200) * 20.0::DOUBLE AS x0, floor(p_partkey / 200) * 20.0::DOUBLE AS y0,
@@ -94,3 +108,11 @@ r2 AS (SELECT CASE WHEN id % 6 = 1 THEN id + 1000000 ELSE id END AS id, x0, y0,
   UNION ALL SELECT id + 2000000, x0, y0, x0 + w / 2, y0 + h FROM rm WHERE id % 10 = 0
   UNION ALL SELECT id + 3000000, x0 + w / 2, y0, x0 + w, y0 + h FROM rm WHERE id % 10 = 0)
 """
+
+#: And the pieces, as r3.
+PIECES = """
+rc AS (SELECT * FROM rb WHERE id % 10 = 0 AND id % 23 <> 0),
+r3 AS (SELECT * FROM r2 UNION ALL SELECT id + 4000000, x0, y0, x0 + w * 0.0625::DOUBLE, y0 + h FROM rc
+  UNION ALL SELECT id + 5000000, x0 + w * 0.25::DOUBLE, y0 + h * 0.25::DOUBLE, x0 + w * 0.75::DOUBLE, y0 + h * 0.75::DOUBLE FROM rc WHERE id % 20 = 0
+  UNION ALL SELECT id + 6000000, x0 + w * 0.75::DOUBLE, y0 - 5.0::DOUBLE, x0 + w + 3.0::DOUBLE, y0 + h * 0.5::DOUBLE FROM rc WHERE id % 30 = 0)
+"""

@@ -11,7 +11,7 @@ from lakewright.operators import identity as I
 
 def order(links):
     left, done, step = dict(links), {}, 0
-    while ready := [f for f, t in left.items() if t not in left]:
+    while ready := [f for f, t in left.items() if t not in left or t == f]:
         done |= {(f, left.pop(f)): step for f in ready}
         step += 1
     return done | {(f, t): None for f, t in left.items()}
@@ -56,6 +56,30 @@ def test_chains_longer_than_a_thousand(spark):
     agree(spark, [(k, k + 1) for k in range(1500)], range(1501))
 
 
+def test_links_to_themselves(spark):
+    """They wait for nothing, free their id for others, and end chains."""
+    agree(spark, [(1, 1), (2, 1), (3, 2), (5, 6), (8, 8), (10, 11), (11, 10), (12, 10)], [1, 2, 3, 5, 6, 8, 10, 11, 12])
+    out = {(r.from_id, r.to_id): r.step for r in I.link_order(frame(spark, [(1, 1), (1, 2), (3, 1)])).collect()}
+    assert out == {(1, 1): 0, (1, 2): 0, (3, 1): 1}
+
+
+def test_nearest_at_any_distance(spark):
+    from lakewright.operators import match as M
+
+    rng = random.Random(2)
+    left = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(60)] + [(100, 5000.0, 40.0), (101, -900.0, -900.0), (102, 3.0, 3.0), (103, 3.0, 3.0)]
+    right = [(i, float(rng.randint(0, 30)) * 4, float(rng.randint(0, 30)) * 4) for i in range(40)]
+    points = lambda rows: spark.createDataFrame(rows, "id long, x double, y double")
+    want = {}
+    for i, x, y in left:
+        want[i] = min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in right)[::-1]
+    got = M.nearest(points(left), points(right), 5.0).collect()
+    assert {r.id: (r.nearest_id, r.d2) for r in got if r.id is not None} == {i: (k, pytest.approx(d)) for i, (k, d) in want.items()}
+    assert sorted(r.nearest_id for r in got if r.id is None) == sorted({k for k, _, _ in right} - {k for k, _ in want.values()})
+    assert {(r.id, r.nearest_id) for r in M.nearest(points(left[:2]), points([]), 5.0).collect()} == {(0, None), (1, None)}
+    assert {(r.id, r.nearest_id) for r in M.nearest(points([]), points(right[:2]), 5.0).collect()} == {(None, 0), (None, 1)}
+
+
 def test_every_part_moves(spark):
     """All part rows: long chains in mixed order, cycles, tails into them, gaps and kept ids."""
     ids = sorted(r[0] for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey").collect())

@@ -112,7 +112,7 @@ def test_split_and_unchanged_footprints(spark):
     new = spark.createDataFrame([(2, 0.0, 0.0, 5.0, 10.0), (3, 5.0, 0.0, 10.0, 10.0)], rect)
     pairs = M.overlapping(old, new, 4.0)
     assert pairs.count() == 2  # spans several cells, each pair stays single
-    assert M.split_candidates(pairs).first().pieces == 2
+    assert tuple(M.split_candidates(pairs, old, new).first()) == (1, 2, [2, 3], 1.0)
     assert {r.method for r in M.cascade(old, old.withColumn("id", F.lit(9).cast("long")), M.rect_fingerprint()).collect()} == {"fingerprint"}
 
 
