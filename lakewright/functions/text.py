@@ -211,3 +211,23 @@ def replace_leaf(text: Column, tag: str, old: Column, new: Column) -> Column:
     leaf = F.concat(F.lit(f"<{tag}>"), old, F.lit(f"</{tag}>"))
     once = (F.length(text) - F.length(F.replace(text, leaf, F.lit("")))) == F.length(leaf)
     return F.when(once, F.replace(text, leaf, F.concat(F.lit(f"<{tag}>"), new, F.lit(f"</{tag}>"))))
+
+
+def apply_changes(text: Column, changes: Column) -> Column:
+    """``text`` of one record after array<struct<tag, old, new, code_space>>, in order.
+
+    Each change needs the one leaf of its tag whose value is ``old``; where there is none, or
+    several, the result is null.  ``code_space`` sets or replaces the leaf's codeSpace attribute.
+    """
+
+    def one(acc: Column, c: Column) -> Column:
+        leaf = F.concat(F.lit("(<(?:[A-Za-z][\\w.-]*:)?"), c["tag"], F.lit("(?:\\s[^>]*)?>)\\s*\\Q"), c["old"], F.lit("\\E\\s*(</)"))
+        hits = F.regexp_extract_all(acc, leaf, F.lit(1))
+        head = F.get(hits, F.lit(0))
+        space = F.concat(F.lit(' codeSpace="'), c["code_space"], F.lit('"'))
+        bare = F.regexp_replace(head, r'\s+codeSpace\s*=\s*"[^"]*"', "")
+        opened = F.when(c["code_space"].isNull(), head).otherwise(F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), space, F.lit(">")))
+        quoted = F.regexp_replace(F.concat(opened, c["new"]), r"([\\$])", r"\\$1")
+        return F.when(F.size(hits) == 1, F.regexp_replace(acc, leaf, F.concat(quoted, F.lit("$2"))))
+
+    return F.aggregate(changes, text, one)

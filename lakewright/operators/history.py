@@ -15,6 +15,46 @@ def entity_history(versions: DataFrame, key: str, order: list[str], state: str)
     return versions.withColumns({"before": before, "n": n}).withColumn("event", event)
 
 
+#: Kinds of versions that carry whole editions, in which an unchanged record is still told.
+CARRYING = ("source-baseline", "scope-extract", "layout")
+
+
+def member_history(versions: DataFrame, key: str, order: str) -> DataFrame:
+    """What happened to each record over its versions (key, order, kind, id, values: map, mentioned).
+
+    A version without the record has a null id.  Events: first appearance, changed, id changed,
+    carried unchanged (in a version of a kind of ``CARRYING``), removed.  A version that leaves the
+    record as it was has none unless it mentions it; a removal in a plain proposal counts only if it
+    mentions the record.  ``changes`` maps each key that differs to its old and new value, and
+    ``id_from`` is the id before.  After a removal the record appears for the first time again.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    there = F.col("id").isNotNull()
+    told = F.coalesce(F.col("mentioned"), F.lit(False))
+    gone = ~there & ((F.col("kind") != "proposal") | told)
+    last = lambda value: F.last(F.when(there, value), True).over(w)
+    rows = versions.withColumns(
+        {"_seen": F.max(F.when(there, F.col(order))).over(w), "_gone": F.max(F.when(gone, F.col(order))).over(w), "_id": last(F.col("id")), "_values": last(F.col("values"))}
+    )
+    known = F.col("_seen").isNotNull() & (F.col("_gone").isNull() | (F.col("_gone") < F.col("_seen")))
+    rows = rows.withColumn("_known", known).withColumn("_old", F.when(known, F.col("_values")))
+    names = F.array_union(F.map_keys("values"), F.coalesce(F.map_keys("_old"), F.array().cast("array<string>")))
+    differing = F.filter(F.array_sort(names), lambda k: ~F.try_element_at("_old", k).eqNullSafe(F.try_element_at("values", k)) | ~F.col("_known"))
+    changes = F.map_from_arrays(differing, F.transform(differing, lambda k: F.struct(F.try_element_at("_old", k).alias("old"), F.try_element_at("values", k).alias("new"))))
+    same = F.col("_known") & (F.size(differing) == 0) & (F.col("id") == F.col("_id"))
+    event = (
+        F.when(gone & F.col("_known"), "removed")
+        .when(~there, None)
+        .when(same & F.col("kind").isin(*CARRYING), "carried unchanged")
+        .when(same & ~told, None)
+        .when(~F.col("_known"), "first appearance")
+        .when(F.col("id") != F.col("_id"), "id changed")
+        .otherwise("changed")
+    )
+    rows = rows.withColumns({"event": event, "changes": F.when(there & (event != "carried unchanged"), changes), "id_from": F.when(there & (F.col("id") != F.col("_id")), F.col("_id"))})
+    return rows.where("event is not null").select(key, order, "kind", "event", F.when(there, F.col("id")).otherwise(F.col("_id")).alias("id"), "id_from", "changes")
+
+
 def edition_history(editions: DataFrame, key: str, n: int) -> DataFrame:
     """(key, ed, event) over editions 1..n of rows (key, ed, id, digest, place).
 

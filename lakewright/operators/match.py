@@ -179,6 +179,53 @@ def competitor(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return others.groupBy("o_id", "n_id").agg(F.coalesce(F.max(F.when(F.col("other") != F.col("o_id"), F.col("iou"))), F.lit(0.0)).alias("competitor_iou"))
 
 
+def rect_hausdorff(a: str, b: str) -> Column:
+    """Hausdorff distance of the outlines of rectangles with column prefixes ``a`` and ``b``, met at a corner of one."""
+
+    def to(px: Column, py: Column, p: str) -> Column:
+        x0, y0, x1, y1 = (F.col(f"{p}{c}") for c in RECT)
+        dx, dy = F.greatest(x0 - px, px - x1, F.lit(0.0)), F.greatest(y0 - py, py - y1, F.lit(0.0))
+        return F.when((dx == 0) & (dy == 0), F.least(px - x0, x1 - px, py - y0, y1 - py)).otherwise(F.sqrt(dx * dx + dy * dy))
+
+    corners = lambda p: [(F.col(f"{p}{x}"), F.col(f"{p}{y}")) for x in ("x0", "x1") for y in ("y0", "y1")]
+    return F.greatest(*(to(x, y, b) for x, y in corners(a)), *(to(x, y, a) for x, y in corners(b)))
+
+
+def match_records(matches: DataFrame, old: DataFrame, new: DataFrame, hausdorff: Column) -> DataFrame:
+    """Each match (o_id, n_id, method) with what differs.
+
+    ``old`` and ``new`` have (id, fingerprint, city, lods: array, attrs: map) and what ``hausdorff``
+    reads, there under the prefixes ``o_`` and ``n_``.
+    """
+    side = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}") for c in df.columns))
+    met = matches.join(side(old, "o_"), "o_id").join(side(new, "n_"), "n_id")
+    paths = F.array_sort(F.array_union(F.map_keys("o_attrs"), F.map_keys("n_attrs")))
+    changed = F.filter(paths, lambda p: ~F.try_element_at("o_attrs", p).eqNullSafe(F.try_element_at("n_attrs", p)))
+    return met.select(
+        "o_id", "n_id", "method", hausdorff.alias("hausdorff_m"), changed.alias("changed_paths"),
+        (~F.col("o_fingerprint").eqNullSafe(F.col("n_fingerprint"))).alias("geometry_changed"), (F.size(changed) > 0).alias("attributes_changed"),
+        (F.array_sort("o_lods") != F.array_sort("n_lods")).alias("lod_changed"), (F.col("o_id") != F.col("n_id")).alias("id_changed"),
+        F.coalesce("o_city", F.lit("unknown")).alias("old_city"), F.coalesce("n_city", F.lit("unknown")).alias("new_city"),
+    )
+
+
+METHODS = ("same_id", "fingerprint", "overlap")
+
+
+def match_summary(records: DataFrame, old: DataFrame, new: DataFrame, splits: DataFrame, merges: DataFrame) -> DataFrame:
+    """One row of counts over :func:`match_records`, both editions, and the split and merge candidates."""
+    any_change = F.col("geometry_changed") | F.col("attributes_changed") | F.col("lod_changed") | F.col("id_changed")
+    counts = {f"by_{m}": F.col("method") == m for m in METHODS} | {
+        "matched_changed": any_change, "matched_unchanged": ~any_change, "id_changed": F.col("id_changed"), "city_changed": F.col("old_city") != F.col("new_city"), "geometry_changed": F.col("geometry_changed"),
+        "attributes_changed": F.col("attributes_changed"), "lod_changed": F.col("lod_changed"), "equal_1mm": ~F.col("geometry_changed"), "within_1cm": F.col("hausdorff_m") <= 0.01, "within_10cm": F.col("hausdorff_m") <= 0.10,
+    }
+    out = records.agg(F.count(F.lit(1)).alias("matched"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    for df, name in ((old, "old_n"), (new, "new_n"), (splits, "split_candidates"), (merges, "merge_candidates")):
+        out = out.join(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))), F.lit(True))
+    lost, come = F.col("old_n") - F.col("matched"), F.col("new_n") - F.col("matched")
+    return out.withColumns({"unmatched_old": lost, "unmatched_new": come, "proposals": F.col("matched_changed") + lost + come})
+
+
 def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """(id, nearest_id, d2): for each point (id, x, y) of ``left`` the nearest of ``right`` at any
     distance, ties by id; a right point may serve several, and those that serve none follow with a

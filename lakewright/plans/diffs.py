@@ -333,7 +333,7 @@ def review_lanes(spark, d):
     f"""WITH {E.SQL}, {_ATTR} SELECT a.status AS old_status, b.status AS new_status, count(*) AS n, count(*) FILTER (a.status <> b.status) AS changed
 FROM e1 a JOIN e2 b USING (id) GROUP BY 1, 2"""
 )
-def match_summary(spark, d):
+def status_transitions(spark, d):
     """Transitions of matched records."""
     a, b = _two(spark, d)
     rows = a.select("id", F.col("status").alias("old_status")).join(b.select("id", F.col("status").alias("new_status")), "id")

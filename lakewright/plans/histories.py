@@ -23,6 +23,39 @@ def entity_history(spark, d):
     return out.select("user_id", "event_id", "before", F.col("n").cast("long").alias("n"), "event")
 
 
+_KIND = "CASE (key + ed) % 4 WHEN 0 THEN 'proposal' WHEN 1 THEN 'source-baseline' WHEN 2 THEN 'layout' ELSE 'source-update' END"
+
+
+@query(
+    f"""WITH {E.SQL}, r AS (SELECT key, 1 AS ed, id, status, total, priority FROM e1 UNION ALL SELECT key, 2, id, status, total, priority FROM e2 UNION ALL SELECT key, 3, id, status, total, priority FROM e3),
+k AS (SELECT DISTINCT key FROM r), g AS (SELECT key, t.ed, {_KIND} AS kind, (key * 7 + t.ed) % 3 = 0 AS mentioned, r.id, r.status, CAST(r.total AS VARCHAR) AS total, CASE WHEN (key + t.ed) % 10 <> 0 THEN r.priority END AS priority
+  FROM k CROSS JOIN (VALUES (1), (2), (3)) t(ed) LEFT JOIN r USING (key, ed)),
+p AS (SELECT *, id IS NULL AND (kind <> 'proposal' OR mentioned) AS gone FROM g),
+q AS (SELECT *, max(ed) FILTER (id IS NOT NULL) OVER w AS seen, max(ed) FILTER (gone) OVER w AS lost FROM p WINDOW w AS (PARTITION BY key ORDER BY ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT q.*, b.id AS b_id, b.status AS b_status, b.total AS b_total, b.priority AS b_priority, q.seen IS NOT NULL AND (q.lost IS NULL OR q.lost < q.seen) AS known FROM q LEFT JOIN p b ON b.key = q.key AND b.ed = q.seen),
+x AS (SELECT *, concat_ws(',', CASE WHEN priority IS NOT NULL AND NOT known THEN 'priority:>' || priority WHEN known AND priority IS DISTINCT FROM b_priority THEN 'priority:' || coalesce(b_priority, '') || '>' || coalesce(priority, '') END,
+    CASE WHEN NOT known THEN 'status:>' || status WHEN status <> b_status THEN 'status:' || b_status || '>' || status END, CASE WHEN NOT known THEN 'total:>' || total WHEN total <> b_total THEN 'total:' || b_total || '>' || total END) AS ch FROM j),
+v AS (SELECT *, CASE WHEN gone AND known THEN 'removed' WHEN id IS NULL THEN NULL WHEN known AND ch = '' AND id = b_id AND kind IN ('source-baseline', 'layout') THEN 'carried unchanged' WHEN known AND ch = '' AND id = b_id AND NOT mentioned THEN NULL
+  WHEN NOT known THEN 'first appearance' WHEN id <> b_id THEN 'id changed' ELSE 'changed' END AS event FROM x)
+SELECT key, CAST(ed AS INTEGER) AS ed, kind, event, coalesce(id, b_id) AS id, CASE WHEN id <> b_id THEN b_id END AS id_from, CASE WHEN id IS NOT NULL AND event <> 'carried unchanged' THEN ch END AS changes FROM v WHERE event IS NOT NULL"""
+)
+def member_history(spark, d):
+    """Every record over three versions of several kinds, with what changed key by key."""
+    rows = None
+    for n in (1, 2, 3):
+        one = E.edition(spark, d, n).withColumn("ed", F.lit(n))
+        rows = one if rows is None else rows.unionByName(one)
+    grid = rows.select("key").distinct().withColumn("ed", F.explode(F.array(*(F.lit(n) for n in (1, 2, 3)))))
+    at = (F.col("key") + F.col("ed")) % 4
+    kind = F.when(at == 0, "proposal").when(at == 1, "source-baseline").when(at == 2, "layout").otherwise("source-update")
+    some = F.when((F.col("key") + F.col("ed")) % 10 != 0, F.col("priority"))
+    values = F.create_map(F.lit("status"), F.col("status"), F.lit("total"), F.col("total").cast("string"), F.lit("priority"), some)
+    versions = grid.join(rows, ["key", "ed"], "left").select("key", "ed", kind.alias("kind"), "id", F.map_filter(values, lambda k, v: v.isNotNull()).alias("values"), ((F.col("key") * 7 + F.col("ed")) % 3 == 0).alias("mentioned"))
+    out = H.member_history(versions, "key", "ed")
+    part = lambda k, v: F.concat(k, F.lit(":"), F.coalesce(v["old"], F.lit("")), F.lit(">"), F.coalesce(v["new"], F.lit("")))
+    return out.withColumn("changes", F.array_join(F.transform(F.map_entries("changes"), lambda e: part(e["key"], e["value"])), ","))
+
+
 _DIG = "status || '|' || CAST(total AS VARCHAR) || '|' || priority"
 
 

@@ -111,6 +111,66 @@ def merge_candidates(spark, d):
     return _splits(E.pieces(spark, d), E.footprints(spark, d, 1), "n", "o")
 
 
+# what the records of both editions carry besides their footprint
+_FACTS = """fo AS (SELECT *, {fp} AS fp, CASE WHEN id % 41 = 0 THEN NULL ELSE 'c' || id % 5 END AS city, id % 13 = 0 AS lod2, id % 7 AS usage, id % 9 AS storeys FROM r1),
+fn AS (SELECT *, {fp} AS fp, 'c' || CASE WHEN b % 37 = 0 THEN 9 ELSE b % 5 END AS city, b % 13 = 0 AND b % 26 <> 0 AS lod2, b % 7 + CASE WHEN b % 11 = 0 THEN 1 ELSE 0 END AS usage, CASE WHEN b % 17 = 0 THEN NULL ELSE b % 9 END AS storeys FROM (SELECT *, id % 1000000 AS b FROM r2)),
+rc1 AS (SELECT c.*, {far} AS hausdorff_m, concat_ws(',', CASE WHEN n.storeys IS NULL THEN 'storeys' END, CASE WHEN o.usage <> n.usage THEN 'usage' END) AS changed_paths, o.fp <> n.fp AS geometry_changed,
+  o.usage <> n.usage OR n.storeys IS NULL AS attributes_changed, o.lod2 <> n.lod2 AS lod_changed, o.id <> n.id AS id_changed, coalesce(o.city, 'unknown') AS old_city, n.city AS new_city FROM ca c JOIN fo o ON o.id = c.o_id JOIN fn n ON n.id = c.n_id)"""
+
+
+def _to(x: str, y: str, p: str) -> str:
+    dx, dy = f"greatest({p}.x0 - {x}, {x} - {p}.x1, 0)", f"greatest({p}.y0 - {y}, {y} - {p}.y1, 0)"
+    return f"CASE WHEN {dx} = 0 AND {dy} = 0 THEN least({x} - {p}.x0, {p}.x1 - {x}, {y} - {p}.y0, {p}.y1 - {y}) ELSE sqrt({dx} ** 2 + {dy} ** 2) END"
+
+
+_CASCADE = f"""sid AS (SELECT id FROM r1 JOIN r2 USING (id)), a1 AS (SELECT * FROM r1 ANTI JOIN sid USING (id)), b1 AS (SELECT * FROM r2 ANTI JOIN sid USING (id)),
+{_fp_sql('a1', 'b1', 'f')}, p2 AS (SELECT * FROM pa WHERE o_id IN (SELECT id FROM a1) AND n_id IN (SELECT id FROM b1) AND o_id NOT IN (SELECT o_id FROM f) AND n_id NOT IN (SELECT n_id FROM f)), {_BEST.format('p2')},
+ca AS (SELECT id AS o_id, id AS n_id, 'same_id' AS method FROM sid UNION ALL SELECT o_id, n_id, 'fingerprint' FROM f UNION ALL SELECT o_id, n_id, 'overlap' FROM mb)"""
+_FAR = "greatest(" + ", ".join(_to(f"{a}.{x}", f"{a}.{y}", b) for a, b in (("o", "n"), ("n", "o")) for x in ("x0", "x1") for y in ("y0", "y1")) + ")"
+_RECORDS = f"{E.RECTANGLES}, {_PAIRS}, {_CASCADE}, {_FACTS.format(fp=_FP, far=_FAR)}"
+
+
+def _records(spark, d):
+    """Matches with what differs, and both editions."""
+    a, b = _rects(spark, d)
+    base = F.col("id") % 1_000_000
+    lods = lambda two: F.when(two, F.array(F.lit("2"), F.lit("1"))).otherwise(F.array(F.lit("1")))
+    own = {"id": F.col("id"), "fingerprint": M.rect_fingerprint(), **{c: F.col(c) for c in M.RECT}}
+    attrs = lambda usage, storeys: F.map_filter(F.create_map(F.lit("usage"), usage.cast("string"), F.lit("storeys"), storeys.cast("string")), lambda k, v: v.isNotNull())
+    old = {"city": F.when(base % 41 != 0, F.concat(F.lit("c"), base % 5)), "lods": lods(base % 13 == 0), "attrs": attrs(base % 7, base % 9)}
+    new = {"city": F.concat(F.lit("c"), F.when(base % 37 == 0, 9).otherwise(base % 5)), "lods": lods((base % 13 == 0) & (base % 26 != 0)), "attrs": attrs(base % 7 + F.when(base % 11 == 0, 1).otherwise(0), F.when(base % 17 != 0, base % 9))}
+    sides = [df.select(*(c.alias(n) for n, c in (own | facts).items())) for df, facts in ((a, old), (b, new))]
+    return M.match_records(M.cascade(a, b, M.rect_fingerprint()), *sides, M.rect_hausdorff("o_", "n_")), a, b
+
+
+@query(f"WITH {_RECORDS} SELECT o_id, n_id, method, round(hausdorff_m, 6) AS hausdorff_m, changed_paths, geometry_changed, attributes_changed, lod_changed, id_changed, old_city, new_city FROM rc1")
+def match_records(spark, d):
+    """Every match with its distance and what differs."""
+    return _round(_records(spark, d)[0], "hausdorff_m", n=6).withColumn("changed_paths", F.array_join("changed_paths", ","))
+
+
+@query(f"WITH {_RECORDS} SELECT old_city, new_city, count(*) AS n FROM rc1 GROUP BY 1, 2")
+def city_transitions(spark, d):
+    """How many matched records went from which city to which."""
+    return _records(spark, d)[0].groupBy("old_city", "new_city").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_RECORDS}, spl AS (SELECT o_id FROM pa WHERE inter >= 0.1 * o_area GROUP BY 1 HAVING count(*) >= 2 AND sum(inter) / max(o_area) >= 0.5), mrg AS (SELECT n_id FROM pa WHERE inter >= 0.1 * n_area GROUP BY 1 HAVING count(*) >= 2 AND sum(inter) / max(n_area) >= 0.5),
+x AS (SELECT *, geometry_changed OR attributes_changed OR lod_changed OR id_changed AS changed FROM rc1),
+c AS (SELECT count(*) AS matched, count(*) FILTER (method = 'same_id') AS by_same_id, count(*) FILTER (method = 'fingerprint') AS by_fingerprint, count(*) FILTER (method = 'overlap') AS by_overlap, count(*) FILTER (changed) AS matched_changed, count(*) FILTER (NOT changed) AS matched_unchanged,
+  count(*) FILTER (id_changed) AS id_changed, count(*) FILTER (old_city <> new_city) AS city_changed, count(*) FILTER (geometry_changed) AS geometry_changed, count(*) FILTER (attributes_changed) AS attributes_changed, count(*) FILTER (lod_changed) AS lod_changed,
+  count(*) FILTER (NOT geometry_changed) AS equal_1mm, count(*) FILTER (hausdorff_m <= 0.01) AS within_1cm, count(*) FILTER (hausdorff_m <= 0.1) AS within_10cm FROM x),
+s AS (SELECT (SELECT count(*) FROM r1) AS old_n, (SELECT count(*) FROM r2) AS new_n, (SELECT count(*) FROM spl) AS split_candidates, (SELECT count(*) FROM mrg) AS merge_candidates)
+SELECT *, old_n - matched AS unmatched_old, new_n - matched AS unmatched_new, matched_changed + old_n - matched + new_n - matched AS proposals FROM c, s"""
+)
+def match_summary(spark, d):
+    """One row of counts over the matches of two editions."""
+    records, a, b = _records(spark, d)
+    pairs = M.overlapping(a, b)
+    return M.match_summary(records, a, b, M.split_candidates(pairs, a, b), M.split_candidates(pairs, a, b, "n", "o"))
+
+
 @query(
     f"""WITH {E.RECTANGLES}, {_PAIRS}, {_BEST.format('pa')} SELECT m.o_id, m.n_id, round(coalesce(max(p.iou) FILTER (p.o_id <> m.o_id), 0), 9) AS competitor_iou
 FROM mb m LEFT JOIN pa p ON p.n_id = m.n_id GROUP BY 1, 2"""

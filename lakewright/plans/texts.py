@@ -64,6 +64,23 @@ def leaf_replace_unique(spark, d):
     return E.table(spark, d, "part").select(k.alias("id"), T.replace_leaf(text, "h", s, (F.col("p_size") + 1).cast("string")).alias("text"))
 
 
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE '<b id="' || p_partkey || '"><x:use codeSpace="' || CASE WHEN p_partkey % 4 = 0 THEN 'new$.xml' ELSE 'old.xml' END || '">' || (p_size + 1) || '</x:use><h>' || p_brand || '</h>' ||
+  CASE WHEN p_partkey % 5 = 0 THEN '<n codeSpace="new$.xml">$1\\</n>' ELSE '<n>7</n>' END || '<h>other</h></b>' END AS text FROM part"""
+)
+def manifest_changes(spark, d):
+    """Records with the changes that a manifest lists applied in order, byte for byte elsewhere."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit('<b id="'), k, F.lit('"><x:use codeSpace="old.xml">'), size, F.lit("</x:use><h>"), "p_brand", F.lit("</h><n>7</n>"), F.when(k % 6 == 0, F.lit("<n>7</n>")).otherwise(""), F.lit("<h>other</h></b>")
+    )
+    new, none = F.lit("new$.xml"), F.lit(None).cast("string")
+    change = lambda tag, old, to, space: F.struct(F.lit(tag).alias("tag"), old.alias("old"), to.alias("new"), space.alias("code_space"))
+    first = change("use", size, (F.col("p_size") + 1).cast("string"), F.when(k % 4 == 0, new))
+    second = F.when((k % 5 == 0) | (k % 6 == 0), change("n", F.lit("7"), F.lit("$1\\"), F.when(k % 5 == 0, new).otherwise(none)))
+    return E.table(spark, d, "part").select(k.alias("id"), T.apply_changes(text, F.array_compact(F.array(first, second))).alias("text"))
+
+
 _REASONS = ["## Reason and supporting evidence\nsurvey of 2024\n## Next\nx", "## A <!-- sec:reason -->\n<!-- hint -->TODO\n", "no heading", "## Summary of changes\n  abc \n", "# t\n\n## 変更理由\n現地を確認した\n\n## z"]
 _REASON_OUT = [("survey of 2024", True), ("TODO", False), ("", False), ("abc", False), ("現地を確認した", True)]
 
