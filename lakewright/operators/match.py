@@ -46,33 +46,55 @@ def fingerprint_of(df: DataFrame) -> Column:
 
 
 def overlapping_shapes(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
-    """As :func:`overlapping` for polygons: bounding rectangles only find the candidates."""
+    """As :func:`overlapping` for polygons: bounding rectangles only find the candidates.
+
+    IoU is rounded to 12 digits, so that ties are decided by id and not by the last bit of a sum.
+    """
     near = overlapping(bounds(old), bounds(new), cell).select("o_id", "n_id")
     met = near.join(old.select(F.col("id").alias("o_id"), F.col("rings").alias("_o")), "o_id").join(new.select(F.col("id").alias("n_id"), F.col("rings").alias("_n")), "n_id")
-    return met.select("o_id", "n_id", polygons.measures("_o", "_n").alias("m")).select("o_id", "n_id", "m.*").where("inter > 0")
+    return met.select("o_id", "n_id", polygons.measures("_o", "_n").alias("m")).select("o_id", "n_id", "m.*").where("inter > 0").withColumn("iou", F.round("iou", 12))
+
+
+#: Grid levels of :func:`overlapping`; each has cells four times as long as the one before.
+LEVELS = 12
 
 
 def overlapping(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
     """Pairs of overlapping footprints: o_id, n_id, both areas, inter, iou, centroid_m.
 
-    Both sides are dealt to the grid cells that they touch and meet in an equi
-    join on the cell; a pair is kept only in the cell that holds the lower left
-    corner of its intersection, so no later distinct is needed.
+    A rectangle is dealt to the cells that it touches on a grid whose cells are no shorter than its
+    longer side, so to four at most (but on the coarsest level), and the sides meet in an equi join on
+    level and cell.  For the meeting of levels, the new side is dealt to the level of its own size and
+    probed from every level that the old side has, each pair on the coarser of its two levels.  A pair
+    is kept only in the cell that holds the lower left corner of its intersection, so no later distinct
+    is needed.
     """
     if has_shapes(old):
         return overlapping_shapes(old, new, cell)
 
+    def levelled(df: DataFrame, p: str) -> DataFrame:
+        longest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        level = F.greatest(F.least(F.ceil(F.log(F.greatest(longest, F.lit(1e-9)) / cell) / F.log(F.lit(4.0))), F.lit(LEVELS - 1)), F.lit(0)).cast("int")
+        return df.select(F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in RECT), level.alias(f"{p}level"))
+
+    size = F.pow(F.lit(4.0), F.col("level")) * cell
+
     def dealt(df: DataFrame, p: str) -> DataFrame:
-        cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-        return (
-            df.select(F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in RECT))
-            .withColumn("cx", F.explode(cells(f"{p}x0", f"{p}x1")))
-            .withColumn("cy", F.explode(cells(f"{p}y0", f"{p}y1")))
-        )
-
-    pairs = dealt(old, "o_").join(dealt(new, "n_"), ["cx", "cy"])
+        cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+        return df.withColumn("cx", F.explode(cells(f"{p}x0", f"{p}x1"))).withColumn("cy", F.explode(cells(f"{p}y0", f"{p}y1")))
+
+    def all_levels(df: DataFrame, p: str, met: DataFrame) -> DataFrame:
+        """Each row on its own level, and on every coarser one that the other side has."""
+        levels = F.filter(F.col("_levels"), lambda n: n >= F.col(f"{p}level"))
+        both = F.array_distinct(F.concat(F.array(f"{p}level"), levels))
+        return dealt(df.join(F.broadcast(met), F.lit(True)).withColumn("level", F.explode(both)).drop("_levels"), p)
+
+    o, n = levelled(old, "o_"), levelled(new, "n_")
+    # at most LEVELS numbers each
+    named = lambda df, p: df.agg(F.array_sort(F.collect_set(f"{p}level")).alias("_levels"))
+    pairs = all_levels(o, "o_", named(n, "n_")).join(all_levels(n, "n_", named(o, "o_")), ["level", "cx", "cy"]).where(F.col("level") == F.greatest("o_level", "n_level"))
     inter = overlap("o_", "n_")
-    home = (F.floor(F.greatest("o_x0", "n_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("o_y0", "n_y0") / cell) == F.col("cy"))
+    home = (F.floor(F.greatest("o_x0", "n_x0") / size) == F.col("cx")) & (F.floor(F.greatest("o_y0", "n_y0") / size) == F.col("cy"))
     pairs = pairs.withColumn("inter", inter).where((F.col("inter") > 0) & home)
     centre = lambda p, a: (F.col(f"{p}{a}0") + F.col(f"{p}{a}1")) / 2
     dx, dy = centre("o_", "x") - centre("n_", "x"), centre("o_", "y") - centre("n_", "y")
@@ -160,13 +182,13 @@ def split_candidates(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: st
 
 
 def split_shapes(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n", share: float = PIECE, least: float = COVERAGE) -> DataFrame:
-    """As :func:`split_candidates` for polygons."""
+    """As :func:`split_candidates` for polygons; coverage is rounded to 12 digits."""
     sides = {"o": old, "n": new}
     rings = lambda p, out: sides[p].select(F.col("id").alias(f"{p}_id"), F.col("rings").alias(out))
     got = pairs.where(F.col("inter") >= share * F.col(f"{whole}_area")).join(rings(piece, "_piece"), f"{piece}_id")
     own = got.groupBy(f"{whole}_id").agg(F.array_sort(F.collect_list(f"{piece}_id")).alias("ids"), F.collect_list("_piece").alias("_pieces")).where(F.size("ids") >= 2)
     own = own.join(rings(whole, "_whole"), f"{whole}_id")
-    return own.select(f"{whole}_id", F.size("ids").cast("long").alias("pieces"), "ids", polygons.coverage("_whole", "_pieces").alias("coverage")).where(F.col("coverage") >= least)
+    return own.select(f"{whole}_id", F.size("ids").cast("long").alias("pieces"), "ids", F.round(polygons.coverage("_whole", "_pieces"), 12).alias("coverage")).where(F.col("coverage") >= least)
 
 
 def splits(pairs: DataFrame, old: DataFrame, new: DataFrame, whole: str = "o", piece: str = "n") -> DataFrame:

@@ -143,6 +143,54 @@ def _records(spark, d):
     return M.match_records(M.cascade(a, b, M.rect_fingerprint()), *sides, M.rect_hausdorff("o_", "n_")), a, b
 
 
+def _shapes(spark, d, pieces: bool = False):
+    """The footprints turned by the angle of the 3-4-5 triangle, as polygons: no side lies along an axis, areas stay."""
+    turned = lambda x, y: F.struct((F.col(x) * 0.6 - F.col(y) * 0.8).alias("a"), (F.col(x) * 0.8 + F.col(y) * 0.6).alias("b"))
+    ring = F.array(*(turned(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
+    sides = E.footprints(spark, d, 1), E.pieces(spark, d) if pieces else E.footprints(spark, d, 2)
+    return tuple(df.select("id", F.array(ring).alias("rings")) for df in sides)
+
+
+@query(f"WITH {E.RECTANGLES}, {_PAIRS} SELECT o_id, n_id, round(o_area, 6) AS o_area, round(n_area, 6) AS n_area, round(inter, 6) AS inter, round(iou, 6) AS iou, round(centroid_m, 6) AS centroid_m FROM pa")
+def shape_overlap(spark, d):
+    """Overlaps of polygons; the bounding rectangles, which meet far more often, only find the candidates."""
+    return _round(M.overlapping(*_shapes(spark, d)), "o_area", "n_area", "inter", "iou", "centroid_m", n=6)
+
+
+# halves have an IoU of one half to rounding, so the least IoU lies a little below
+_SHAPE_CASCADE = _CASCADE.replace("iou >= 0.5", "iou >= 0.49")
+
+
+@query(f"WITH {E.RECTANGLES}, {_PAIRS.replace('inter / (o_area + n_area - inter)', 'round(inter / (o_area + n_area - inter), 9)')}, {_SHAPE_CASCADE} SELECT * FROM ca")
+def shape_cascade(spark, d):
+    """Matches of polygons by id, millimetre fingerprint, then mutual best overlap."""
+    old, new = _shapes(spark, d)
+    return M.cascade(old, new, M.fingerprint_of(old), 0.49)
+
+
+@query(f"WITH {E.RECTANGLES}, {_fp_sql('r1', 'r2', 'f')} SELECT o_id, n_id FROM f")
+def shape_fingerprint_match(spark, d):
+    """Polygons whose canonical millimetre form is unique on both sides."""
+    old, new = _shapes(spark, d)
+    return M.unique_fingerprints(old, new, M.fingerprint_of(old))
+
+
+@query(f"WITH {E.RECTANGLES}, {E.PIECES}, {_split_sql('r1', 'r3')} SELECT w_id AS o_id, pieces, ids, coverage FROM sp")
+def shape_splits(spark, d):
+    """Polygons split into slivers, overlapping and oversized pieces, by the area of their union."""
+    old, new = _shapes(spark, d, True)
+    return _round(M.splits(M.overlapping(old, new), old, new), "coverage", n=6).withColumn("ids", F.array_join("ids", ","))
+
+
+@query(f"""WITH {E.RECTANGLES}, {_PAIRS}, {_BEST.format('pa').replace('iou >= 0.5', 'iou >= 0.55')} SELECT m.o_id, m.n_id, round(m.iou, 6) AS iou, round(coalesce(max(p.iou) FILTER (p.o_id <> m.o_id), 0), 6) AS competitor_iou
+FROM mb m LEFT JOIN pa p ON p.n_id = m.n_id GROUP BY ALL""")
+def shape_best(spark, d):
+    """Mutually best polygons with their strongest competitor."""
+    pairs = M.overlapping(*_shapes(spark, d)).withColumn("iou", F.round("iou", 9))
+    best = M.mutual_best(pairs, 0.55)
+    return _round(M.competitor(pairs, best).join(best.select("o_id", "n_id", "iou"), ["o_id", "n_id"]), "iou", "competitor_iou", n=6)
+
+
 @query(f"WITH {_RECORDS} SELECT o_id, n_id, method, round(hausdorff_m, 6) AS hausdorff_m, changed_paths, geometry_changed, attributes_changed, lod_changed, id_changed, old_city, new_city FROM rc1")
 def match_records(spark, d):
     """Every match with its distance and what differs."""

@@ -82,3 +82,19 @@ def catalogue(spark: SparkSession, path: str, suffix: str = ".gml") -> DataFrame
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return found.select(F.col("path").alias("file"), F.regexp_extract(name, r"^([0-9]+(?:_[0-9]+)?)", 1).alias("code"), F.col("length").alias("bytes"))
+
+
+#: Suffixes of image files.
+IMAGES = (".jpg", ".jpeg", ".png")
+
+
+def sample_files(files: DataFrame, n: int, seed: str = "seed0", suffixes: tuple[str, ...] = IMAGES, path: str = "path") -> DataFrame:
+    """``n`` of the files (rows with a path) that have one of the suffixes, in the order of a hash of seed and path.
+
+    Files are listed by ``spark.read.format("binaryFile")``; a report on a sample is what this is for.
+    """
+    low = F.lower(path)
+    some = F.lit(False)
+    for s in suffixes:
+        some = some | F.endswith(low, F.lit(s))
+    return files.where(some).orderBy(F.sha2(F.concat(F.lit(seed), F.col(path)), 256), path).limit(n)

@@ -8,6 +8,7 @@ the scan, so later steps no longer depend on how large a file is.
 
 from __future__ import annotations
 
+import re
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -275,6 +276,58 @@ def rebuild(base: bytes, head: bytes) -> bytes:
     return out
 
 
+#: Names of the elements that hold the second level of detail or more: solids, surfaces, curves, bounding surfaces, rooms, installations.
+DETAIL = r"(?:lod[2-9]\w*|boundedBy|interiorRoom|outerBuildingInstallation|interiorBuildingInstallation|appearanceMember|appearance)"
+
+
+_TAG = re.compile(rb"""<(?:"[^"]*"|'[^']*'|[^"'>])*>""")
+
+
+def without_elements(raw: bytes, names: str = DETAIL) -> bytes:
+    """``raw`` without the outermost elements whose local name matches ``names``; all other bytes stay.
+
+    ``boundedBy`` counts only inside a member, not where it holds the envelope of a document.
+    """
+    match, cuts, path = re.compile(names).fullmatch, [], []
+    p = event_parser()
+
+    def start(name, _):
+        space, _, local = name.rpartition(" ")
+        path.append((p.CurrentByteIndex, bool(match(local)) and not (local == "boundedBy" and space.endswith("/gml")) and not any(hit for _, hit in path)))
+
+    def end(_):
+        begin, hit = path.pop()
+        if hit:
+            # an empty element ends with its start tag, and the parser then stands behind it
+            opened = _TAG.match(raw, begin).end()
+            cuts.append((begin, opened if raw[opened - 2 : opened] == b"/>" else raw.index(b">", p.CurrentByteIndex) + 1))
+
+    p.StartElementHandler, p.EndElementHandler = start, end
+    p.Parse(raw, True)
+    out, at = [], 0
+    for begin, stop in cuts:
+        out.append(raw[at:begin])
+        at = stop
+    return b"".join([*out, raw[at:]])
+
+
+def lite_files(files: DataFrame) -> DataFrame:
+    """(file, content) without detail, written byte for byte otherwise."""
+
+    @F.pandas_udf("binary")
+    def lite(content: pd.Series) -> pd.Series:
+        return pd.Series([without_elements(bytes(x)) for x in content])
+
+    return files.select("file", lite("content").alias("content"))
+
+
+def require_supported(found: DataFrame, allowed: DataFrame, name: str = "name") -> None:
+    """Stop if ``found`` has a name that ``allowed`` lacks; at most ten are told."""
+    unknown = [r[0] for r in found.select(name).distinct().join(allowed.select(name), name, "left_anti").orderBy(name).limit(10).collect()]
+    if unknown:
+        raise ValueError(f"names without a rule, so nothing is converted: {', '.join(map(str, unknown))}")
+
+
 def rename_elements(raw: bytes, old: str, new: str, targets: set[str] | None = None) -> tuple[bytes, list[str], list[tuple[str, str]]]:
     """``raw`` with direct properties ``old`` of buildings renamed to ``new``: bytes, ids changed, (id, reason) left out.
 

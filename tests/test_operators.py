@@ -116,6 +116,39 @@ def test_split_and_unchanged_footprints(spark):
     assert {r.method for r in M.cascade(old, old.withColumn("id", F.lit(9).cast("long")), M.rect_fingerprint()).collect()} == {"fingerprint"}
 
 
+def test_overlaps_of_all_sizes(spark):
+    """Footprints from a metre to ten kilometres, against brute force."""
+    import random
+
+    rng = random.Random(7)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            w, h = (rng.choice([1, 3, 20, 20, 300, 9000]) * rng.uniform(0.5, 1) for _ in "wh")
+            x, y = rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)
+            out.append((i, x, y, x + w, y + h))
+        return out
+
+    a, b = some(150), some(150)
+    want = {(o[0], n[0]) for o in a for n in b if o[1] < n[3] and n[1] < o[3] and o[2] < n[4] and n[2] < o[4]}
+    rect = "id long, x0 double, y0 double, x1 double, y1 double"
+    pairs = [(r.o_id, r.n_id) for r in M.overlapping(spark.createDataFrame(a, rect), spark.createDataFrame(b, rect)).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 500
+
+
+def test_detail_goes_and_other_bytes_stay():
+    raw = b'<c:M xmlns:c="u/citygml" xmlns:gml="http://www.opengis.net/gml"><gml:boundedBy><e/></gml:boundedBy>\r\n<c:b ><c:lod1Solid/> <c:lod2Solid a=">"><c:lod2Solid/></c:lod2Solid ><c:x/></c:b><c:b><c:lod3Solid/></c:b></c:M>'
+    assert gml.without_elements(raw) == raw.replace(b'<c:lod2Solid a=">"><c:lod2Solid/></c:lod2Solid >', b"").replace(b"<c:lod3Solid/>", b"")
+
+
+def test_unknown_names_stop_a_conversion(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    gml.require_supported(names("a", "b", "a"), names("a", "b", "c"))
+    with pytest.raises(ValueError, match="nothing is converted: x, y$"):
+        gml.require_supported(names("y", "a", "x"), names("a"))
+
+
 def test_polygons_by_hand():
     square, ell = [(0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]
     hole = [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)]
