@@ -94,13 +94,18 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def _first_and_others(rows: DataFrame, fields: list[str], one: str, n: str) -> tuple[DataFrame, DataFrame]:
-    """Of the rows under one identifier the first, as struct ``one``, and those that differ from it."""
+    """Of the rows under one identifier the first, as struct ``one``, and those that differ from it in more than seq.
+
+    Identifiers with several kinds of rows are found by hashes alone; the others go one way.
+    """
     key = ["conv_id", "call_id"]
-    kinds = rows.groupBy(*key, *fields[1:]).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("_n"))
-    first = kinds.groupBy(*key).agg(F.min(F.struct(*fields)).alias(one), F.sum("_n").alias(n), F.count(F.lit(1)).alias("_kinds"))
-    several = first.where("_kinds > 1").select(*key, F.col(one).alias("_first"), n)
-    others = kinds.join(several, key).where(~F.struct(*fields).eqNullSafe(F.col("_first"))).select(*key, F.struct(*fields).alias(one), n, F.lit(True).alias("again"))
-    return first.drop("_kinds"), others
+    first = lambda df: df.groupBy(*key).agg(F.min(F.struct(*fields)).alias(one), F.count(F.lit(1)).alias(n))
+    kind = F.xxhash64(*(c for f in fields[1:] for c in (F.col(f), F.col(f).isNull())))
+    several = rows.groupBy(*key).agg(F.min(kind).alias("low"), F.max(kind).alias("high")).where("low <> high").select(*key)
+    mixed = materialise(rows.join(materialise(several, "several"), key), "mixed")
+    kinds = mixed.groupBy(*key, *fields[1:]).agg(F.min("seq").alias("seq"))
+    others = kinds.join(first(mixed).withColumnRenamed(one, "_first"), key).where(~F.struct(*fields).eqNullSafe(F.col("_first")))
+    return first(rows), others.select(*key, F.struct(*fields).alias(one), n, F.lit(True).alias("again"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
