@@ -265,19 +265,42 @@ def top_changed_paths(spark, d):
     return planner.top_paths(attr_changes(spark, d))
 
 
+# commits on lineitem: an order is a commit, its lines are the records of the files that it changes
+_COMMITS = """l AS (SELECT l_orderkey AS k, CAST(l_linenumber AS VARCHAR) AS id, l_linenumber AS n, l_orderkey % 10 AS m FROM lineitem),
+me AS (SELECT DISTINCT k, id, n, m, NOT (m IN (1, 5, 6, 7) AND n = 1) AS in_old, NOT ((m = 5 AND n = 2) OR (m = 6 AND n = 2 AND k % 3 > 0) OR (m = 4 AND n % 3 = 2 AND k % 4 > 0)) AS in_new, NOT ((m = 0 AND n = 1) OR (m = 2 AND n = 1 AND k % 3 = 0) OR (m = 9 AND n = 2) OR (m = 4 AND n = 3 AND k % 7 = 0)) AS same,
+  CASE WHEN k % 11 = 0 AND n = 1 THEN NULL ELSE CASE n % 3 WHEN 2 THEN 'b' ELSE 'a' END END AS area FROM l),
+co AS (SELECT DISTINCT k, m, CASE m WHEN 1 THEN 'lifecycle' WHEN 2 THEN 'layout' WHEN 3 THEN 'source-baseline' WHEN 4 THEN 'scope-extract' WHEN 5 THEN 'identity-baseline' WHEN 6 THEN 'identity-correction' WHEN 7 THEN 'Lifecycle' WHEN 8 THEN 'schema-update' WHEN 9 THEN 'odd' ELSE '' END AS kind FROM l)"""
+
+
 @query(
-    f"""WITH {E.SQL}, {_STATUS}, {_REN}, c AS (SELECT e1.key % 50 AS batch, st.* FROM st JOIN e1 USING (id) UNION ALL SELECT e2.key % 50, st.* FROM st JOIN e2 USING (id) WHERE st.status = 'added'),
-k AS (SELECT batch, count(*) FILTER (status <> 'unchanged') AS changed, count(*) FILTER (status = 'modified') AS modified FROM c GROUP BY batch)
-SELECT batch, changed, modified, CASE WHEN changed = 0 THEN 'empty' WHEN changed = 1 THEN 'ok' ELSE 'too_many' END AS verdict FROM k"""
+    f"""WITH {_COMMITS}, f AS (SELECT k, count(*) FILTER (in_new AND NOT in_old) AS na, count(*) FILTER (in_old AND NOT in_new) AS nd, count(*) FILTER (in_old <> in_new OR NOT same) AS nc, count(*) FILTER (in_old AND area IS NULL) AS unk,
+  count(*) FILTER (in_old AND area = 'a' AND NOT in_new) AS mis, count(*) FILTER (in_new AND (NOT in_old OR area IS DISTINCT FROM 'a')) AS unx, count(*) FILTER (in_old AND in_new AND NOT same) AS ret, bool_or(id = '1') AS one, bool_or(id = '2') AS two FROM me GROUP BY k),
+c AS (SELECT co.*, f.*, k % 5 <> 0 AS told FROM co JOIN f USING (k))
+SELECT k AS commit, CASE WHEN k % 97 = 0 THEN 'merge' ELSE concat_ws(',', CASE WHEN k % 89 = 0 AND m <> 0 THEN 'several_kinds' END, CASE WHEN m = 9 THEN 'unknown_kind' END, CASE WHEN m = 8 THEN 'schema_with_data' END, CASE WHEN m = 3 AND k % 4 = 0 THEN 'baseline_not_first' END,
+  CASE WHEN m = 2 AND na + nd > 0 THEN 'layout_changes_ids' END, CASE WHEN m = 2 AND nc > 0 THEN 'layout_changes_content' END, CASE WHEN m = 4 AND k % 13 = 0 THEN 'one_area' END, CASE WHEN m IN (5, 6) AND k % 13 = 0 THEN 'one_pair_of_ids' END,
+  CASE WHEN m = 2 AND k % 17 = 0 THEN 'trailers_not_allowed' END, CASE WHEN m = 4 AND k % 13 <> 0 THEN nullif(concat_ws(',', CASE WHEN unk > 0 THEN 'unknown_area' END, CASE WHEN mis > 0 THEN 'missing' END, CASE WHEN unx > 0 THEN 'unexpected' END, CASE WHEN ret > 0 THEN 'retained_changed' END), '') END,
+  CASE WHEN m IN (5, 6) AND k % 13 <> 0 THEN nullif(concat_ws(',', CASE WHEN k % 7 = 0 THEN 'one_manifest' END, CASE WHEN m = 6 AND k % 19 = 0 THEN 'one_correction' END, CASE WHEN NOT (nd = 1 AND na = 1 AND nc = 2) THEN 'not_one_replacement' END), '') END,
+  CASE WHEN m IN (1, 7) THEN nullif(concat_ws(',', CASE WHEN na + nd = 0 THEN 'lifecycle_without_change' END, CASE WHEN NOT (one AND told OR NOT one AND NOT told) THEN 'lifecycle_added' END, CASE WHEN k % 7 = 0 THEN 'one_manifest' END), '') END,
+  CASE WHEN m IN (0, 9) AND nc <> 1 THEN 'not_one_record' END, CASE WHEN m IN (0, 9) AND nc = 1 AND NOT told THEN 'one_trailer' END, CASE WHEN m IN (0, 9) AND nc = 1 AND told AND (m = 9) THEN 'trailer_differs' END) END AS errors FROM c"""
 )
 def commit_scope(spark, d):
-    """One commit, here a residue class, must change one record."""
-    a, b = _two(spark, d)
-    batch = (F.col("key") % 50).alias("batch")
-    owner = a.select("id", batch).unionByName(b.join(a, "id", "left_anti").select("id", batch))
-    rows = D.edition_diff(a, b, "id", A).join(owner, "id")
-    k = rows.groupBy("batch").agg(F.count_if(F.col("status") != "unchanged").alias("changed"), F.count_if(F.col("status") == "modified").alias("modified"))
-    return k.withColumn("verdict", F.when(F.col("changed") == 0, "empty").when(F.col("changed") == 1, "ok").otherwise("too_many"))
+    """What each commit's kind lets it change, against what it changes."""
+    k, n, m = F.col("k"), F.col("n"), F.col("m")
+    lines = E.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_orderkey") % 10).alias("m"))
+    in_new = ~(((m == 5) & (n == 2)) | ((m == 6) & (n == 2) & (k % 3 > 0)) | ((m == 4) & (n % 3 == 2) & (k % 4 > 0)))
+    same = ~(((m == 0) & (n == 1)) | ((m == 2) & (n == 1) & (k % 3 == 0)) | ((m == 9) & (n == 2)) | ((m == 4) & (n == 3) & (k % 7 == 0)))
+    area = F.when(~((k % 11 == 0) & (n == 1)), F.when(n % 3 == 2, "b").otherwise("a"))
+    members = lines.distinct().select(k.alias("commit"), n.cast("string").alias("id"), (~(m.isin(1, 5, 6, 7) & (n == 1))).alias("in_old"), in_new.alias("in_new"), same.alias("same"), area.alias("area"))
+    kind = F.get(F.array(*(F.lit(x) for x in ("", "lifecycle", "layout", "source-baseline", "scope-extract", "identity-baseline", "identity-correction", "Lifecycle", "schema-update", "odd"))), m.cast("int"))
+    none = F.array().cast("array<string>")
+    just = lambda cond, *ids: F.when(cond, F.array(*(F.lit(i) for i in ids))).otherwise(none)
+    pair = m.isin(5, 6) & (k % 13 != 0)
+    commits = lines.select("k", "m").distinct().select(
+        k.alias("commit"), F.when(k % 97 == 0, 2).otherwise(1).alias("parents"), F.when(kind == "", none).when(k % 89 == 0, F.array(F.lit("layout"), kind)).otherwise(F.array(kind)).alias("kinds"), (k % 4 == 0).alias("had_data"),
+        F.when(m.isin(0, 9) & (k % 5 != 0), F.array(F.lit("1"))).when((m == 2) & (k % 17 == 0), F.array(F.lit("1"))).otherwise(none).alias("named"), just(m.isin(1, 7) & (k % 5 != 0), "1").alias("added"), none.alias("deleted"),
+        just(pair, "2").alias("from_ids"), just(pair, "1").alias("to_ids"), F.when(k % 13 == 0, none).otherwise(F.array(F.lit("a"))).alias("areas"), F.when(k % 7 == 0, 0).otherwise(1).alias("manifests"), F.when(k % 19 == 0, 2).otherwise(1).alias("corrects"),
+    )
+    return planner.commit_scope(commits, members).withColumn("errors", F.array_join("errors", ","))
 
 
 @query(
