@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewright.plans import diffs, files, histories, matching, meaning, measures, rules, texts  # noqa: F401  they register their queries
+from lakewright.plans import diffs, files, histories, matching, meaning, measures, publishing, rules, texts  # noqa: F401  they register their queries
 from lakewright.plans.binding import ORACLES, QUERIES
 
 

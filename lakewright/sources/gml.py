@@ -16,7 +16,7 @@ from decimal import Decimal, InvalidOperation
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -243,6 +243,21 @@ def scan_code_lists(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(rows, "list string, code string, label string")
 
 
+def _verdict(raw: bytes) -> str:
+    try:
+        event_parser().Parse(raw, True)
+    except UnsafeXml:
+        return "refused"
+    except expat.ExpatError:
+        return "malformed"
+    return "ok"
+
+
+def xml_verdict(content: Column) -> Column:
+    """ok, refused (a document type or entities) or malformed, for documents as bytes."""
+    return F.pandas_udf(lambda s: s.map(lambda x: _verdict(bytes(x))), "string")(content)
+
+
 def serialise(body: str) -> bytes:
     """A document as it is published: byte-order mark, declaration, CRLF."""
     text = '<?xml version="1.0" encoding="UTF-8"?>\n' + body
