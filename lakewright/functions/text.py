@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PLAIN = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"
@@ -48,6 +48,16 @@ def set_hash(values: Column) -> Column:
     return F.when(F.size(ordered) > 0, F.sha2(F.array_join(ordered, "\n"), 256))
 
 
+def sliced_set_hash(rows: DataFrame, value: str, out: str, digits: int = 3) -> DataFrame:
+    """One row: the hash of a bag of texts of any size, made of the hashes of its slices by the first digits of each text's own hash.
+
+    No row holds more than one slice, and the last step at most 16 ** digits hashes.
+    """
+    slices = rows.groupBy(F.substring(F.sha2(F.col(value), 256), 1, digits).alias("_slice")).agg(set_hash(F.collect_list(value)).alias("_hash"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_hash"))), lambda s: s["_hash"])
+    return slices.agg(F.sha2(F.array_join(ordered, "\n"), 256).alias(out))
+
+
 def signature_id(paths: Column) -> Column:
     """Short identifier of a set of paths."""
     return F.concat(F.lit("paths-"), F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256), 1, 12))

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lakewright.operators.polygons import shape_key
+
 # Namespaces whose elements carry no attributes, and what counts as a building.
 GML = "http://www.opengis.net/gml"
 APPEARANCE = "http://www.opengis.net/citygml/appearance/2.0"
@@ -203,6 +205,13 @@ def attributes(members: DataFrame) -> DataFrame:
     return long.withColumn("path", F.when(n > 1, F.concat("path", F.lit("["), i.cast("string"), F.lit("]"))).otherwise(F.col("path"))).drop("ord")
 
 
+def footprints(members: DataFrame) -> DataFrame:
+    """(id, rings, fingerprint) of scanned members, ready to be matched; without a readable footprint rings are empty and the fingerprint is null."""
+    rings = F.transform(F.filter("rings", lambda r: r["footprint"] & r["pts"].isNotNull()), lambda r: r["pts"])
+    own = members.select(F.col("gml_id").alias("id"), rings.alias("rings"))
+    return own.withColumn("fingerprint", F.when(F.size("rings") > 0, shape_key("rings")))
+
+
 def code_list(raw: bytes) -> dict[str, str]:
     """{code: label} of one dictionary file."""
     out: dict[str, str] = {}
