@@ -171,3 +171,14 @@ def nested_names(rows: DataFrame) -> DataFrame:
     )
     pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("value")))
     return part.groupBy("id", "wrapper", "occurrence", "leaf").agg(pick("").alias("value"), pick("codeSpace").alias("code_space"), pick("uom").alias("uom"))
+
+
+def flat_names(rows: DataFrame) -> DataFrame:
+    """The way back from :func:`nested_names`: flat (id, name, value) rows."""
+    name = F.concat("wrapper", F.lit("#"), F.col("occurrence").cast("string"), F.lit("/"), "leaf")
+    cells = F.array(
+        F.struct(name.alias("name"), F.col("value").alias("value")),
+        F.struct(F.concat(name, F.lit("@codeSpace")).alias("name"), F.col("code_space").alias("value")),
+        F.struct(F.concat(name, F.lit("@uom")).alias("name"), F.col("uom").alias("value")),
+    )
+    return rows.select("id", F.inline(cells)).where("value is not null")

@@ -193,6 +193,12 @@ def generic_to_typed(spark, d):
     return S.nested_names(flat)
 
 
+@query(f"WITH {_FLAT} SELECT id, name, value FROM f")
+def typed_to_generic(spark, d):
+    """Typed attributes taken back to the flat names they were read from."""
+    return S.flat_names(generic_to_typed(spark, d))
+
+
 _RENAMED = [("year", "uro:yearOfConstruction", True), ("use", "uro:usage", False)]
 
 
