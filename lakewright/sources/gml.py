@@ -300,6 +300,32 @@ def rebuild(base: bytes, head: bytes) -> bytes:
     return out
 
 
+def keep_members(raw: bytes, ids: set[str]) -> bytes:
+    """``raw`` without the members whose id is not in ``ids``; all other bytes stay, which is checked."""
+    members = scan(raw)
+    out, at = [], 0
+    for m in members:
+        if m.gml_id not in ids:
+            out.append(raw[at : m.start])
+            at = m.stop
+    made = b"".join([*out, raw[at:]])
+    pieces = lambda data, own: [(m.gml_id, data[m.start : m.stop]) for m in own]
+    if pieces(made, scan(made)) != [p for p in pieces(raw, members) if p[0] in ids]:
+        raise ValueError("the members that stay differ from the source")
+    return made
+
+
+def extract_files(files: DataFrame, keep: DataFrame) -> DataFrame:
+    """(file, content) of files with the members (file, gml_id) of ``keep`` only, byte for byte; a file keeps none that are not named."""
+    named = keep.groupBy("file").agg(F.collect_set("gml_id").alias("_ids"))  # no more than a file has members
+
+    @F.pandas_udf("binary")
+    def cut(content: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([keep_members(bytes(x), set() if own is None else set(own)) for x, own in zip(content, ids)])
+
+    return files.join(named, "file", "left").select("file", cut("content", "_ids").alias("content"))
+
+
 #: Names of the elements that hold the second level of detail or more: solids, surfaces, curves, bounding surfaces, rooms, installations.
 DETAIL = r"(?:lod[2-9]\w*|boundedBy|interiorRoom|outerBuildingInstallation|interiorBuildingInstallation|appearanceMember|appearance)"
 
