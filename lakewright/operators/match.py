@@ -35,10 +35,15 @@ def has_shapes(df: DataFrame) -> bool:
     return "rings" in df.columns
 
 
+#: Extents along the diagonals, beside those along the axes.
+DIAGONAL = ("u0", "u1", "v0", "v1")
+
+
 def bounds(df: DataFrame) -> DataFrame:
-    """The bounding rectangles of polygons (id, rings: array<array<struct<a, b>>>)."""
-    x, y = F.transform(F.flatten("rings"), lambda p: p["a"]), F.transform(F.flatten("rings"), lambda p: p["b"])
-    return df.select("id", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+    """Polygons (id, rings: array<array<struct<a, b>>>) with their extents along the axes and the diagonals."""
+    along = {"x": lambda p: p["a"], "y": lambda p: p["b"], "u": lambda p: p["a"] + p["b"], "v": lambda p: p["a"] - p["b"]}
+    ends = {f"{k}{n}": end(F.transform(F.flatten("rings"), f)) for k, f in along.items() for n, end in enumerate((F.array_min, F.array_max))}
+    return df.select("id", "rings", *(c.alias(n) for n, c in ends.items()))
 
 
 def fingerprint_of(df: DataFrame) -> Column:
@@ -46,36 +51,41 @@ def fingerprint_of(df: DataFrame) -> Column:
 
 
 def overlapping_shapes(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
-    """As :func:`overlapping` for polygons: bounding rectangles only find the candidates.
+    """As :func:`overlapping` for polygons: extents along the axes and the diagonals only find the candidates.
 
-    IoU is rounded to 12 digits, so that ties are decided by id and not by the last bit of a sum.
+    The rings travel with the rectangles, so that no join by id follows and each pair keeps its own
+    shapes where an id repeats.  IoU is rounded to 12 digits, so that ties are decided by id and not by
+    the last bit of a sum.
     """
-    near = overlapping(bounds(old), bounds(new), cell).select("o_id", "n_id")
-    met = near.join(old.select(F.col("id").alias("o_id"), F.col("rings").alias("_o")), "o_id").join(new.select(F.col("id").alias("n_id"), F.col("rings").alias("_n")), "n_id")
-    return met.select("o_id", "n_id", polygons.measures("_o", "_n").alias("m")).select("o_id", "n_id", "m.*").where("inter > 0").withColumn("iou", F.round("iou", 12))
+    near = meeting(bounds(old), bounds(new), cell, ("rings", *DIAGONAL))
+    # the slack is above the rounding of a sum of coordinates
+    for k in "uv":
+        near = near.where(F.greatest(f"o_{k}0", f"n_{k}0") <= F.least(f"o_{k}1", f"n_{k}1") + 1e-6)
+    met = near.select("o_id", "n_id", polygons.measures("o_rings", "n_rings").alias("m"))
+    return met.select("o_id", "n_id", "m.*").where("inter > 0").withColumn("iou", F.round("iou", 12))
 
 
-#: Grid levels of :func:`overlapping`; each has cells four times as long as the one before.
+#: Grid levels of :func:`meeting`; each has cells four times as long as the one before.
 LEVELS = 12
 
 
-def overlapping(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Pairs of overlapping footprints: o_id, n_id, both areas, inter, iou, centroid_m.
+def meeting(old: DataFrame, new: DataFrame, cell: float, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of overlapping rectangles with their area of overlap as ``inter``; the columns of either side,
+    among them ``kept``, are under the prefixes ``o_`` and ``n_``.
 
     A rectangle is dealt to the cells that it touches on a grid whose cells are no shorter than its
     longer side, so to four at most (but on the coarsest level), and the sides meet in an equi join on
     level and cell.  For the meeting of levels, the new side is dealt to the level of its own size and
     probed from every level that the old side has, each pair on the coarser of its two levels.  A pair
     is kept only in the cell that holds the lower left corner of its intersection, so no later distinct
-    is needed.
+    is needed.  With ``kept`` columns of unknown width the sides are merged: the size that Spark assumes
+    for an array is far below the real one, and a side broadcast by it would not fit the driver.
     """
-    if has_shapes(old):
-        return overlapping_shapes(old, new, cell)
 
     def levelled(df: DataFrame, p: str) -> DataFrame:
         longest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
         level = F.greatest(F.least(F.ceil(F.log(F.greatest(longest, F.lit(1e-9)) / cell) / F.log(F.lit(4.0))), F.lit(LEVELS - 1)), F.lit(0)).cast("int")
-        return df.select(F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in RECT), level.alias(f"{p}level"))
+        return df.select(F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in (*RECT, *kept)), level.alias(f"{p}level"))
 
     size = F.pow(F.lit(4.0), F.col("level")) * cell
 
@@ -92,10 +102,18 @@ def overlapping(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame
     o, n = levelled(old, "o_"), levelled(new, "n_")
     # at most LEVELS numbers each
     named = lambda df, p: df.agg(F.array_sort(F.collect_set(f"{p}level")).alias("_levels"))
-    pairs = all_levels(o, "o_", named(n, "n_")).join(all_levels(n, "n_", named(o, "o_")), ["level", "cx", "cy"]).where(F.col("level") == F.greatest("o_level", "n_level"))
+    cells = all_levels(n, "n_", named(o, "o_"))
+    pairs = all_levels(o, "o_", named(n, "n_")).join(cells.hint("merge") if kept else cells, ["level", "cx", "cy"]).where(F.col("level") == F.greatest("o_level", "n_level"))
     inter = overlap("o_", "n_")
     home = (F.floor(F.greatest("o_x0", "n_x0") / size) == F.col("cx")) & (F.floor(F.greatest("o_y0", "n_y0") / size) == F.col("cy"))
-    pairs = pairs.withColumn("inter", inter).where((F.col("inter") > 0) & home)
+    return pairs.withColumn("inter", inter).where((F.col("inter") > 0) & home)
+
+
+def overlapping(old: DataFrame, new: DataFrame, cell: float = 50.0) -> DataFrame:
+    """Pairs of overlapping footprints: o_id, n_id, both areas, inter, iou, centroid_m."""
+    if has_shapes(old):
+        return overlapping_shapes(old, new, cell)
+    pairs = meeting(old, new, cell)
     centre = lambda p, a: (F.col(f"{p}{a}0") + F.col(f"{p}{a}1")) / 2
     dx, dy = centre("o_", "x") - centre("n_", "x"), centre("o_", "y") - centre("n_", "y")
     return pairs.select(

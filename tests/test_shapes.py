@@ -63,3 +63,12 @@ def test_rectangles_as_polygons_agree(spark):
     shape = [r.select("id", F.array(ring).alias("rings")) for r in rect]
     rows = lambda df: sorted(tuple(round(v, 6) for v in r) for r in df.collect())
     assert rows(M.overlapping(*shape)) == rows(M.overlapping(*rect))
+
+
+def test_pairs_of_polygons_keep_their_own_shapes(spark):
+    # two new shapes share an id and both overlap the old one
+    old, new = frame(spark, [(1, [box(0, 0, 10, 10)])]), frame(spark, [(11, [box(0, 0, 4, 10)]), (11, [box(5, 0, 10, 10)])])
+    pairs = M.overlapping(old, new)
+    assert sorted(r.inter for r in pairs.collect()) == pytest.approx([40, 50])
+    # shapes are wider than Spark assumes, so no side is sent to the driver
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
