@@ -72,3 +72,27 @@ def test_pairs_of_polygons_keep_their_own_shapes(spark):
     assert sorted(r.inter for r in pairs.collect()) == pytest.approx([40, 50])
     # shapes are wider than Spark assumes, so no side is sent to the driver
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_convex_polygons_agree_with_the_sweep():
+    import math
+    import random
+
+    rnd = random.Random(3)
+
+    def polygon(x, y):
+        turns = sorted(rnd.uniform(0, 2 * math.pi) for _ in range(rnd.randint(3, 7)))
+        return [(x + 6 * math.cos(t), y + 4 * math.sin(t)) for t in turns][:: rnd.choice((1, -1))]
+
+    for _ in range(300):
+        a, b = polygon(1e5, 2e5), polygon(1e5 + rnd.uniform(0, 9), 2e5 + rnd.uniform(0, 9))
+        assert P.convex([a]) and P.convex([[*b, b[0]]])
+        total = [0.0, 0.0, 0.0]
+        for on, size, _, _ in P._sweep([[a], [b]]):
+            total = [t + size * hit for t, hit in zip(total, (0 in on, 1 in on, len(on) == 2))]
+        assert P.overlap_areas([a], [b]) == pytest.approx(tuple(total), abs=1e-7)
+    star = [(math.cos(4 * math.pi * i / 5), math.sin(4 * math.pi * i / 5)) for i in range(5)]
+    assert P.convex([star]) is None and P.convex([ELL]) is None and P.convex([[(0, 0), (2, 0), (4, 0)]]) is None
+    # shapes that share a wall do not overlap
+    wall = [[(x * 0.6 - y * 0.8, x * 0.8 + y * 0.6) for x, y in box(100_000 + at, 70_000.1, 100_000 + at + 10.1, 70_009)] for at in (0, 10.1)]
+    assert P.overlap_areas([wall[0]], [wall[1]])[2] == 0
