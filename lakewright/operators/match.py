@@ -271,29 +271,33 @@ def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     distance, ties by id; a right point may serve several, and those that serve none follow with a
     null id.  Without ``right`` the nearest is null.
 
-    Points meet those of the nine grid cells around them.  A point whose nearest lies within one cell
-    is done; the others go on with cells of twice the size.
+    Points of one place count once: a place of ``left`` meets each place of ``right``, which stands for
+    its least id.  Places meet those of the nine grid cells around them.  A place whose nearest lies
+    within one cell is done; the others go on with cells of twice the size.
     """
-    left, right = left.select("id", "x", "y"), materialise(right.select("id", "x", "y"), "right")
+    points, right = left.select("id", "x", "y"), materialise(right.select("id", "x", "y"), "right")
+    ids = right.select(F.col("id").alias("nearest_id"))
+    left, right = points.select("x", "y").distinct(), materialise(right.groupBy("x", "y").agg(F.min("id").alias("id")), "places")
     spans = [F.max(c) - F.min(c) for c in ("x", "y")]
-    extent = left.unionByName(right).agg(F.greatest(*spans).alias("e")).first()["e"] or 0.0
+    extent = left.unionByName(right.select("x", "y")).agg(F.greatest(*spans).alias("e")).first()["e"] or 0.0
     todo, done = materialise(left, "left"), None
     while True:
         whole = cell >= extent
         at = [F.floor(F.col(c) / cell).alias(k) for c, k in (("x", "cx"), ("y", "cy"))]
         r = right.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), *at)
         around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-        probe = todo.select("id", "x", "y", *at).withColumn("dx", around).withColumn("dy", around)
+        probe = todo.select("x", "y", *at).withColumn("dx", around).withColumn("dy", around)
         probe = probe.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
         d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
-        best = probe.join(r, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "r_id")).alias("b"))
-        met = todo.join(best, "id", "left").select("id", "x", "y", F.col("b.r_id").alias("nearest_id"), F.col("b.d2").alias("d2"))
+        best = probe.join(r, ["cx", "cy"]).groupBy("x", "y").agg(F.min(F.struct(d2.alias("d2"), "r_id")).alias("b"))
+        met = todo.join(best, ["x", "y"], "left").select("x", "y", F.col("b.r_id").alias("nearest_id"), F.col("b.d2").alias("d2"))
         near = F.lit(True) if whole else F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
         met = materialise(met.withColumn("near", near), "met")
-        found = met.where("near").select("id", "nearest_id", "d2")
+        found = met.where("near").select("x", "y", "nearest_id", "d2")
         done = found if done is None else done.unionByName(found)
         if whole or met.where("not near").isEmpty():
             break
-        todo, cell = met.where("not near").select("id", "x", "y"), cell * 2
-    unclaimed = right.select(F.col("id").alias("nearest_id")).join(done.select("nearest_id"), "nearest_id", "left_anti")
+        todo, cell = met.where("not near").select("x", "y"), cell * 2
+    unclaimed = ids.join(done.select("nearest_id"), "nearest_id", "left_anti")
+    done = points.join(done, ["x", "y"], "left").select("id", "nearest_id", "d2")
     return done.unionByName(unclaimed.select(F.lit(None).cast(done.schema["id"].dataType).alias("id"), "nearest_id", F.lit(None).cast("double").alias("d2")))

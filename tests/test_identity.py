@@ -110,3 +110,21 @@ def test_several_links_of_an_id(spark, cyclic):
     out = {(r.from_id, r.to_id): r.step for r in I.link_order(frame(spark, links)).collect()}
     free = {(1, 3): 0}
     assert out == (free | {(1, 2): None, (2, 4): None, (4, 5): None, (5, 4): None, (6, 1): None} if cyclic else free | {(4, 5): 0, (2, 4): 1, (1, 2): 2, (6, 1): 3})
+
+
+def test_points_of_one_place_count_once(spark, monkeypatch):
+    from lakewright.operators import match as M
+
+    sizes, write = {}, M.materialise
+
+    def noted(df, name="step"):
+        back = write(df, name)
+        sizes[name] = back.count()
+        return back
+
+    monkeypatch.setattr(M, "materialise", noted)
+    points = lambda rows: spark.createDataFrame([(i, float(x), float(y)) for i, x, y in rows], "id long, x double, y double")
+    left = points([(i, 1, 1) for i in range(50)] + [(90, 3, 5)])
+    got = M.nearest(left, points([(i, 2, 1) for i in range(7, 60)] + [(99, 3, 5)]), 5.0).collect()
+    assert {(r.id, r.nearest_id, r.d2) for r in got} == {(i, 7, 1.0) for i in range(50)} | {(90, 99, 0.0)} | {(None, i, None) for i in range(8, 60)}
+    assert (sizes["places"], sizes["met"]) == (2, 2)
