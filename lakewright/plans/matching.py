@@ -261,7 +261,8 @@ def _steps(spark, d):
 
     def step(a, b, cut, weak, spread):
         tier = F.when(k % cut == 0, "C").when(k % weak == 0, "B").otherwise("A")
-        return a.withColumnRenamed("id", "from_id").join(b.withColumnRenamed("id", "to_id"), "key").select("from_id", "to_id", tier.alias("tier"), (F.lit(1.0) - (k % spread) / 100.0).alias("iou"))
+        # two columns of a wide file look small enough to broadcast at any number of rows
+        return a.withColumnRenamed("id", "from_id").join(b.withColumnRenamed("id", "to_id").hint("merge"), "key").select("from_id", "to_id", tier.alias("tier"), (F.lit(1.0) - (k % spread) / 100.0).alias("iou"))
 
     return [step(e[0], e[1], 29, 5, 40), step(e[1], e[2], 31, 4, 30)]
 
