@@ -113,10 +113,12 @@ t AS (SELECT a.id, a.key, CASE a.key WHEN 'priority' THEN 'urgency' WHEN 'cust'
   WHEN official = cur_to THEN 'absorbed' WHEN official = coalesce(old_to, old) THEN 'reapply' ELSE 'conflict' END AS outcome FROM t"""
 )
 def three_way_merge(spark, d):
-    v = [D.unpivot(E.edition(spark, d, n), "id", E.ATTRIBUTES).withColumnRenamed("path", "key") for n in (1, 2, 3)]
+    e = [E.edition(spark, d, n) for n in (1, 2, 3)]
+    v = [D.unpivot(x, "id", E.ATTRIBUTES).withColumnRenamed("path", "key") for x in e]
+    ids = e[0].select("id").join(e[1].select("id"), "id").join(e[2].select("id"), "id")
     successors = _frame(spark, [("priority", "urgency"), ("cust", None)], "key string, target string")
     mapping = _frame(spark, _MAP, "key string, code string, target_code string")
-    return S.three_way(*v, successors=successors, mapping=mapping)
+    return S.three_way(*v, successors=F.broadcast(successors), mapping=F.broadcast(mapping), ids=ids)
 
 
 @query(
