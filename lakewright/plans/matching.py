@@ -10,6 +10,7 @@ from lakewright.operators import layout as L
 from lakewright.operators import match as M
 from lakewright.plans.binding import query
 from lakewright.sources import editions as E
+from lakewright.sources.shared import materialise
 
 _PAIRS = """pr AS (SELECT o.id AS o_id, n.id AS n_id, (o.x1 - o.x0) * (o.y1 - o.y0) AS o_area, (n.x1 - n.x0) * (n.y1 - n.y0) AS n_area,
   (least(o.x1, n.x1) - greatest(o.x0, n.x0)) * (least(o.y1, n.y1) - greatest(o.y0, n.y0)) AS inter,
@@ -186,7 +187,8 @@ def shape_splits(spark, d):
 FROM mb m LEFT JOIN pa p ON p.n_id = m.n_id GROUP BY ALL""")
 def shape_best(spark, d):
     """Mutually best polygons with their strongest competitor."""
-    pairs = M.overlapping(*_shapes(spark, d)).withColumn("iou", F.round("iou", 9))
+    # read three times below, and each time costs the areas of every pair
+    pairs = materialise(M.overlapping(*_shapes(spark, d)).select("o_id", "n_id", F.round("iou", 9).alias("iou")), "pairs")
     best = M.mutual_best(pairs, 0.55)
     return _round(M.competitor(pairs, best).join(best.select("o_id", "n_id", "iou"), ["o_id", "n_id"]), "iou", "competitor_iou", n=6)
 
